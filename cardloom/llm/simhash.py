@@ -93,43 +93,43 @@ def keys(fps: np.ndarray, ask: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _keyed(fps: DataFrame, ask: bool) -> DataFrame:
+def _keyed(nodes: DataFrame, ask: bool) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch):
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            every, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for i in range(0, len(every), 4096):
-                part = every[i : i + 4096]
+                part, own = every[i : i + 4096], node[i : i + 4096]
                 row, key = keys(part, ask)
-                yield {"key": key, "fp": part[row].view(np.int64)}
+                yield {"key": key, "fp": part[row].view(np.int64), "node": own[row]}
 
         return step
 
-    return per_batch(fps.select("fp"), "key long, fp long", make)
+    return per_batch(nodes.select("fp", "node"), "key long, fp long, node long", make)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of different fingerprints at most DISTANCE bits apart, for distinct fps(fp)."""
-    ask, has = _keyed(fps, True), _keyed(fps, False).withColumnRenamed("fp", "other")
-    hit = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE)
-    met = ask.join(has.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & hit)
-    return met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+def links(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes(fp, node) whose fingerprints differ in 1 to DISTANCE bits; each pair at least once."""
+    ask, has = _keyed(nodes, True), _keyed(nodes, False).toDF("k", "other", "v")
+    near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE)
+    return ask.join(has, (F.col("key") == F.col("k")) & near).select(F.col("node").alias("u"), "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs(doc_id, text, ...); other columns are not read.
 
-    Equal texts meet in one fingerprint before any pair is formed, so a group of copies of any size costs one node.
-    component_id is the least doc_id reachable over links. Null or empty texts have fingerprint 0 and link like any
-    other; a row whose doc_id is null gets its component's least non-null doc_id. An empty table gives no rows.
+    Equal texts meet in one fingerprint before any pair is formed, so a group of copies of any size costs one node,
+    which is named by its least doc_id. component_id is the least doc_id reachable over links. Null or empty texts
+    have fingerprint 0 and link like any other. A row whose doc_id is null gets its component's least doc_id, or null
+    if there is none. doc_ids are below 2^62. An empty table gives no rows.
     """
     found = Saved(fingerprints(docs), "fingerprints").df
-    nodes = Saved(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes").df
-    roots = components(links(nodes))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = Saved(named, "roots").df
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    least = named.join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    return found.join(least, found["fp"] == least["node"]).select("doc_id", "fp", "component_id")
+    # A fingerprint whose rows have no doc_id is named by its own upper 62 bits; where two share them, they are linked.
+    unnamed = F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(1 << 62))
+    nodes = Saved(found.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("node")), "nodes").df
+    roots = components(links(nodes)).withColumnRenamed("node", "child")
+    named = nodes.join(roots, nodes["node"] == roots["child"], "left").select(F.col("fp").alias("own"), F.coalesce("root", "node").alias("root"))
+    least = F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id")
+    return found.join(named, found["fp"] == named["own"]).select("doc_id", "fp", least)
 
 
 def hex_of(fp: str = "fp"):
