@@ -2,7 +2,7 @@
 
 Each of a fixed number of word buckets has a sparse random index vector, made from its number alone. A word's vector is
 the sum of the index vectors of the words next to it, over the whole corpus, so it costs one pass and a sum per bucket.
-A document is the mean of its words' vectors and of their squares. The network's logits are divided by a temperature
+A document is the mean of its words' vectors and of their squares, and how alike neighbouring vectors are. The network's logits are divided by a temperature
 fitted on rows kept apart from its training.
 """
 
@@ -92,13 +92,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return np.divide(out, size, out=out, where=size > 0).astype(np.float32)
 
 
+#: Means, mean squares, likeness of neighbours, share of different buckets, logarithm of the length.
+POOLED = 2 * DIMS + 3
+
+
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, mean square, and the log of the number of words."""
     if not len(ids):
-        return np.zeros(2 * DIMS + 1)
-    kinds, count = np.unique(ids, return_counts=True)
-    v = vectors[kinds].astype(float)
-    return np.r_[count @ v / len(ids), count @ (v * v) / len(ids) * 4, np.log1p(len(ids)) / 4]
+        return np.zeros(POOLED)
+    kinds, back, count = np.unique(ids, return_inverse=True, return_counts=True)
+    v = vectors[kinds]
+    near = np.einsum("ij,ij->", v[back[1:]], v[back[:-1]]) / len(ids)
+    return np.r_[count @ v / len(ids), count @ (v * v) / len(ids) * 4, near, len(kinds) / len(ids), np.log1p(len(ids)) / 4]
 
 
 class Network:
@@ -118,7 +122,7 @@ class Network:
     def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4, seed: int = 5) -> Network:
         """Adam on four fifths of the rows; the temperature minimises the loss of the rest. No rows: score 0.5."""
         n = len(x)
-        k = 2 * DIMS + 1
+        k = POOLED
         rng = np.random.default_rng(seed)
         if not n or y.min() == y.max():
             return Network(np.zeros(k), np.ones(k), np.zeros((k, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0 if not n else 6.0 * (2 * y[0] - 1), 1.0)
@@ -155,7 +159,7 @@ def _pool(rows: DataFrame, vectors: np.ndarray, last) -> DataFrame:
         buckets, table = Buckets(), shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            x = np.array([pooled(buckets.of(t), table) for t in texts_of(batch.column(1))]).reshape(-1, 2 * DIMS + 1)
+            x = np.array([pooled(buckets.of(t), table) for t in texts_of(batch.column(1))]).reshape(-1, POOLED)
             return {"doc_id": batch.column(0), other: batch.column(2), "out": last(x)}
 
         return step
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.
     """Word vectors of all documents; the network of at most ``most`` labelled ones outside the held-out third."""
     vectors = word_vectors(docs)
     rows = _pool(labelled(docs, labels, "quality", most).select("doc_id", "text", "y"), vectors, _listed).orderBy("doc_id").collect()
-    x = np.array([r.out for r in rows], float).reshape(-1, 2 * DIMS + 1)
+    x = np.array([r.out for r in rows], float).reshape(-1, POOLED)
     return vectors, Network.fit(x, np.array([float(r.y > 0) for r in rows]))
 
 

@@ -25,6 +25,8 @@ from .learning import labelled, logistic, sigmoid
 TRAIN_DOCS, LEXICON = 20_000, 4000
 #: A term must stand in so many different lines, of which this share is toxic.
 MIN_LINES, MIN_SHARE = 4, 0.9
+#: A stem must begin so many different words of toxic lines.
+FAMILY = 4
 WINDOW = 5
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
@@ -40,7 +42,7 @@ _AS_LETTER = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
-FEATURES = ("hits", "direct", "edited", "stems", "quoted", "reported", "addressed", "rate", "weight", "any")
+FEATURES = ("hits", "exact", "terms", "total", "edit_1", "edit_2", "stems", "direct", "quoted", "reported", "addressed", "rate", "weight", "any")
 
 
 def normal(word: str) -> str:
@@ -161,7 +163,8 @@ class Reader:
         hits = [(i, h) for i, h in enumerate([written[w] if w in written else look(w) for w in every]) if h]
         if not hits:
             return (0.0,) * len(FEATURES)
-        direct = edited = stems = quoted = reported = addressed = weight = 0
+        direct = stems = quoted = reported = addressed = weight = 0
+        edited, exact = [0, 0, 0], {}
         for i, (w, edits, stem) in hits:
             around = [x.decode() for x in every[max(0, i - WINDOW) : i + WINDOW + 1]]
             mid = min(i, WINDOW)
@@ -174,12 +177,14 @@ class Reader:
             quoted += inside
             reported += told
             addressed += bool(near & ADDRESS)
-            edited += edits > 0
+            edited[edits] += 1
+            if not edits:
+                exact[normal(every[i].decode())] = w
             stems += stem
             direct += not inside and not told
             weight = max(weight, w)
         size = math.log1p
-        return (size(len(hits)), size(direct), size(edited), size(stems), size(quoted), size(reported), size(addressed), len(hits) / len(every) * 20, float(weight), 1.0)
+        return (size(len(hits)), size(edited[0]), size(len(exact)), size(sum(exact.values())), size(edited[1]), size(edited[2]), size(stems), size(direct), size(quoted), size(reported), size(addressed), len(hits) / len(every) * 20, float(weight), 1.0)
 
 
 def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
@@ -189,6 +194,8 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
     """
 
     def make():
+        kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string())]))
+
         def step(batch: pa.RecordBatch):
             lines, terms, toxic = [], [], []
             for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
@@ -196,39 +203,33 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
                     found = {normal(w) for w in line.decode().split()} - {""}
                     if found:
                         lines.append(line)
-                        terms.append(sorted(found | {f"{w[:k]}*" for w in found for k in STEMS if len(w) > k}))
+                        terms.append([{"term": t, "word": w} for w in sorted(found) for t in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k))])
                         toxic.append(int(y > 0))
                 if len(lines) > 2000:
-                    yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, pa.list_(pa.string())), "y": pa.array(toxic, pa.int32())}
+                    yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, kind), "y": pa.array(toxic, pa.int32())}
                     lines, terms, toxic = [], [], []
-            yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, pa.list_(pa.string())), "y": pa.array(toxic, pa.int32())}
+            yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, kind), "y": pa.array(toxic, pa.int32())}
 
         return step
 
-    lines = per_batch(sample.select("text", "y"), "line binary, terms array<string>, y int", make)
+    lines = per_batch(sample.select("text", "y"), "line binary, terms array<struct<term string, word string>>, y int", make)
     lines = lines.groupBy(F.xxhash64("line").alias("line"), F.hash("line").alias("check")).agg(F.first("terms").alias("terms"), F.min("y").alias("y"))
-    counts = lines.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    good = counts.filter((F.col("n") >= MIN_LINES) & (F.col("k") >= MIN_SHARE * F.col("n")))
+    met = lines.select(F.explode("terms").alias("t"), "y").groupBy("t.term", "t.word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    counts = met.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("family"))
+    good = counts.filter((F.col("n") >= MIN_LINES) & (F.col("k") >= MIN_SHARE * F.col("n")) & (~F.col("term").endswith("*") | (F.col("family") >= FAMILY)))
     top = good.orderBy(F.desc("k"), "n", "term").limit(most).collect()
     base = lines.agg(F.avg("y")).first()[0] or 0.0
     words, stems = {}, {}
     for r in sorted(top, key=lambda r: (len(r.term), r.term)):
-        # a term must be far more frequent in toxic lines than chance would have it
-        if r.k * math.log(1 / max(base, 1e-6)) < 6 or base > 0.8:
+        # far more toxic lines than chance would give
+        if base > 0.8 or r.k * math.log(1 / max(base, 1e-6)) < 6:
             continue
         weight = math.log((r.k + 0.5) / (r.n - r.k + 0.5))
-        if r.term.endswith("*"):
-            if not any(r.term[:k] in stems for k in STEMS if k < len(r.term) - 1):
-                stems[r.term[:-1]] = weight
-        else:
-            words[r.term] = weight
-    # a stem stands for a family of endings: with a single one it is only that word's beginning
-    family: dict[str, int] = {}
-    for r in top:
         if not r.term.endswith("*"):
-            for k in STEMS:
-                family[r.term[:k]] = family.get(r.term[:k], 0) + (len(r.term) > k)
-    return words, {s: w for s, w in stems.items() if family.get(s, 0) >= 5}
+            words[r.term] = weight
+        elif not any(r.term[:k] in stems for k in STEMS if k < len(r.term) - 1):
+            stems[r.term[:-1]] = weight
+    return words, stems
 
 
 def _features(rows: DataFrame, lexicon: tuple[dict, dict]) -> DataFrame:
