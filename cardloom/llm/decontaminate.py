@@ -55,9 +55,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
         met = met.select("doc_id", "item_id", shift.alias("shift")).distinct()
         hits = met.join(items.withColumnRenamed("w", "iw"), "item_id").join(texts, "doc_id")
     start, end = F.greatest("shift", F.lit(0)), F.least(F.size("w"), F.col("shift") + F.size("iw"))
-    hits = hits.withColumns({"start": start, "n": end - start}).filter("n > 0")
+    hits = hits.withColumns({"start": start, "n": end - start})
     run = F.least(F.lit(overlap), F.size("iw"))
-    laid = hits.select("doc_id", "item_id", "shift", run.alias("run"), F.slice("w", F.col("start") + 1, F.col("n")).alias("a"), F.slice("iw", F.col("start") - F.col("shift") + 1, F.col("n")).alias("b")).distinct()
+    laid = hits.select("doc_id", "item_id", "shift", F.xxhash64("w").alias("text_id"), run.alias("run"), F.slice("w", F.col("start") + 1, F.col("n")).alias("a"), F.slice("iw", F.col("start") - F.col("shift") + 1, F.col("n")).alias("b"))
+    # As aggregates a and b stop the later filters from sinking into the join, where each window would evaluate them.
+    laid = laid.groupBy("doc_id", "item_id", "shift", "text_id", "run").agg(F.min("a").alias("a"), F.min("b").alias("b"))
     laid = laid.filter(F.size("a") >= F.col("run")).withColumn("same", F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0)))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("run") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("run")), F.lit(0), lambda s, x: s + x))
     best = laid.select("doc_id", "item_id", "run", F.array_max(sums).alias("n_equal")).filter(F.col("n_equal") >= share * F.col("run"))
