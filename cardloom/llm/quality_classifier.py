@@ -175,7 +175,8 @@ def _listed(x: np.ndarray) -> pa.Array:
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, Network]:
     """Word vectors of all documents; the network of at most ``most`` labelled ones outside the held-out third."""
     vectors = word_vectors(docs)
-    rows = _pool(labelled(docs, labels, "quality", most).select("doc_id", "text", "y"), vectors, _listed).orderBy("doc_id").collect()
+    rows = _pool(labelled(docs, labels, "quality", most).select("doc_id", "text", "y"), vectors, _listed).collect()
+    rows.sort()
     x = np.array([r.out for r in rows], float).reshape(-1, POOLED)
     return vectors, Network.fit(x, np.array([float(r.y > 0) for r in rows]))
 

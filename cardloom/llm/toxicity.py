@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts_of
+from .common import Saved, per_batch, texts_of
 from .learning import labelled, logistic, sigmoid
 
 #: The lexicon and the weights are fitted on at most so many labelled documents; the lexicon has at most so many terms.
@@ -190,35 +190,33 @@ class Reader:
 def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
     """Whole words and stems, each with its log-odds; at most ``most`` of both reach the driver.
 
-    A line counts once however many copies of it there are, and as toxic only if no clean document has it.
+    A line counts once however many copies of it there are, and as toxic only if no clean document has it. Words are
+    counted within a batch of lines before they are shuffled, stems from the counts of words.
     """
 
     def make():
-        kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.string())]))
-
-        def step(batch: pa.RecordBatch):
-            lines, terms, toxic = [], [], []
-            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                for line in set(text.split(b"\n")):
-                    found = {normal(w) for w in line.decode().split()} - {""}
-                    if found:
-                        lines.append(line)
-                        terms.append([{"term": t, "word": w} for w in sorted(found) for t in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k))])
-                        toxic.append(int(y > 0))
-                if len(lines) > 2000:
-                    yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, kind), "y": pa.array(toxic, pa.int32())}
-                    lines, terms, toxic = [], [], []
-            yield {"line": pa.array(lines, pa.binary()), "terms": pa.array(terms, kind), "y": pa.array(toxic, pa.int32())}
+        def step(batch: pa.RecordBatch) -> dict:
+            met: dict[str, list[int]] = {}
+            for line, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                for word in {normal(w) for w in line.decode().split()} - {""}:
+                    c = met.setdefault(word, [0, 0])
+                    c[0] += 1
+                    c[1] += y > 0
+            return {"word": pa.array(met, pa.string()), "n": pa.array([c[0] for c in met.values()], pa.int64()), "k": pa.array([c[1] for c in met.values()], pa.int64())}
 
         return step
 
-    lines = per_batch(sample.select("text", "y"), "line binary, terms array<struct<term string, word string>>, y int", make)
-    lines = lines.groupBy(F.xxhash64("line").alias("line"), F.hash("line").alias("check")).agg(F.first("terms").alias("terms"), F.min("y").alias("y"))
-    met = lines.select(F.explode("terms").alias("t"), "y").groupBy("t.term", "t.word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    counts = met.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("family"))
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line"), "y").groupBy("line").agg(F.min("y").alias("y"))
+    met = per_batch(lines, "word string, n long, k long", make).groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    met = Saved(met, "words")
+    toxic, every = sample.agg(F.sum("y"), F.count(F.lit(1))).first()
+    base = (toxic or 0) / max(every, 1)
+    prefixes = F.filter(F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS)), lambda t: t.isNotNull())
+    stemmed = met.df.select(F.explode(prefixes).alias("term"), "n", "k").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("family"))
+    counts = met.df.select(F.col("word").alias("term"), "n", "k", F.lit(0).cast("long").alias("family")).unionAll(stemmed)
     good = counts.filter((F.col("n") >= MIN_LINES) & (F.col("k") >= MIN_SHARE * F.col("n")) & (~F.col("term").endswith("*") | (F.col("family") >= FAMILY)))
     top = good.orderBy(F.desc("k"), "n", "term").limit(most).collect()
-    base = lines.agg(F.avg("y")).first()[0] or 0.0
+    met.drop()
     words, stems = {}, {}
     for r in sorted(top, key=lambda r: (len(r.term), r.term)):
         # far more toxic lines than chance would give
@@ -256,9 +254,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Lexicon and weights from at most ``most`` labelled rows outside the held-out third."""
-    sample = labelled(docs, labels, "toxic", most)
-    lexicon = learn_lexicon(sample)
-    rows = _features(sample.select("doc_id", "text", "y"), lexicon).orderBy("doc_id").collect()
+    sample = Saved(labelled(docs, labels, "toxic", most), "labelled")
+    lexicon = learn_lexicon(sample.df)
+    rows = sorted(_features(sample.df.select("doc_id", "text", "y"), lexicon).collect())
+    sample.drop()
     x = np.array([r.x for r in rows], float).reshape(-1, len(FEATURES))
     return Model(lexicon, logistic(x, np.array([float(r.y > 0) for r in rows])))
 
