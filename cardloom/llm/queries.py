@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from . import decontaminate, quality_classifier, quality_rules, sentence_pieces, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,5 +41,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op10_url_filter": op10_url_filter}
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
