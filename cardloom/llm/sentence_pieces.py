@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters matched at once, and entries remembered by a worker.
 CHUNK, REMEMBER, PAIRS = 250_000, 400_000, 1_000_000
-_UNKNOWN = -2
+_START, _UNKNOWN = -1, -2
 
 
 class Vocabulary:
@@ -86,6 +87,7 @@ class Encoder:
         self.low, self.high, self.lengths = self._keys(grid), self._keys(full), size
         self.id_of = np.array(self.ids, np.int32)
         self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.follows: dict[int, bool] = {}
 
     @staticmethod
@@ -156,14 +158,14 @@ class Encoder:
         return end[order], piece[order]
 
     def _follows(self, a: int, b: int) -> bool:
-        """Whether a, b is the encoding of their concatenation."""
+        """Whether a, b is the encoding of their concatenation; b alone, if a is the start."""
         key = a << 32 | b
         ok = self.follows.get(key)
         if ok is None:
             if len(self.follows) > PAIRS:
                 self.follows.clear()
-            s, t = self.string[a], self.string[b]
-            ok = self.follows[key] = self.merged(s + t) == [s, t]
+            parts = [self.string[b]] if a == _START else [self.string[a], self.string[b]]
+            ok = self.follows[key] = self.merged("".join(parts)) == parts
         return ok
 
     def _relax(self, segments: list[str], raw: list[bytes]) -> None:
@@ -175,31 +177,35 @@ class Encoder:
         sizes = self.lengths[pieces].tolist()
         ends = ends.tolist()
         ends.append(-1)
-        p, start, follows, known = 0, 0, self._follows, self.follows
+        p, start, follows, known, size, bytes_ = 0, 0, self._follows, self.follows.get, self.size, self.v.bytes
         for segment, key in zip(segments, raw):
             n = len(segment)
-            last = [0] * (n + 1)
-            for j in range(1, n + 1):
-                at, best = start + j, None
+            last = [_START]
+            for at in range(start + 1, start + n + 1):
+                best = _UNKNOWN
                 while ends[p] == at:
-                    if best is None:
-                        token, i = tokens[p], j - sizes[p]
-                        if i == 0 or last[i] == _UNKNOWN:
-                            best = token
-                        elif known.get(last[i] << 32 | token) or (last[i] << 32 | token) not in known and follows(last[i], token):
+                    if best == _UNKNOWN:
+                        token = tokens[p]
+                        before = last[at - start - sizes[p]]
+                        if before == _UNKNOWN:
                             best = token
+                        else:
+                            ok = known(before << 32 | token)
+                            if ok or ok is None and follows(before, token):
+                                best = token
                     p += 1
-                last[j] = _UNKNOWN if best is None else best
+                last.append(best)
             out, j = [], n
             while j:
                 token = last[j]
                 if token == _UNKNOWN:
-                    out += [self.v.bytes[b] for b in reversed(segment[j - 1].encode())]
+                    out += [bytes_[b] for b in reversed(segment[j - 1].encode())]
                     j -= 1
                 else:
                     out.append(token)
-                    j -= self.size[token]
-            self.seen[key] = np.array(out[::-1], np.int32).tobytes()
+                    j -= size[token]
+            out.reverse()
+            self.seen[key] = array("i", out).tobytes()
             start += n + 1
 
     def learn(self, segments: set[bytes]) -> None:
@@ -226,14 +232,17 @@ class Encoder:
         while at < len(texts):
             cut, new, chars = [], set(), 0
             if len(self.seen) > REMEMBER:
-                self.seen.clear()
+                self.seen, self.old = {}, self.seen
             while at < len(texts) and (not cut or chars < 4_000_000):
                 text = texts[at].replace(SPACE.encode(), b" ")
                 cut.append(_SEGMENT.findall(b" " + text) if text else [])
                 new.update(cut[-1])
                 chars += len(text)
                 at += 1
-            self.learn(new - self.seen.keys())
+            new -= self.seen.keys()
+            again = new & self.old.keys()
+            self.seen.update((k, self.old[k]) for k in again)
+            self.learn(new - again)
             out += [b"".join(map(self.seen.__getitem__, c)) for c in cut]
         return out
 
