@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_classifier, quality_rules, sentence_pieces, simhash, toxicity, url_filter
+from . import decontaminate, pii, quality_classifier, quality_rules, sentence_pieces, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,5 +46,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op10_url_filter": op10_url_filter}
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
