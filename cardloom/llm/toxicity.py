@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Saved, per_batch, texts_of
-from .learning import labelled, logistic, sigmoid
+from .learning import labelled, logistic, remainder
 
 #: The lexicon and the weights are fitted on at most so many labelled documents; the lexicon has at most so many terms.
 TRAIN_DOCS, LEXICON = 20_000, 4000
@@ -230,21 +230,21 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
     return words, stems
 
 
-def _features(rows: DataFrame, lexicon: tuple[dict, dict]) -> DataFrame:
-    """The given columns but text, then x: the features as doubles."""
-    keep = [c for c in rows.columns if c != "text"]
+def _features(rows: DataFrame, lexicon: tuple[dict, dict], keep: Sequence[str]) -> DataFrame:
+    """The columns of keep, then _x: the features of text as doubles."""
 
     def make():
         reader = Reader(*lexicon)
 
         def step(batch: pa.RecordBatch) -> dict:
-            x = [reader.features(t) for t in texts_of(batch.column(batch.schema.get_field_index("text")))]
-            return {c: batch.column(batch.schema.get_field_index(c)) for c in keep} | {"x": pa.array(x, pa.list_(pa.float64()))}
+            names = batch.schema.names
+            x = [reader.features(t) for t in texts_of(batch.column(names.index("text")))]
+            return {c: batch.column(names.index(c)) for c in keep} | {"_x": pa.array(x, pa.list_(pa.float64()))}
 
         return step
 
     kinds = dict(rows.dtypes)
-    return per_batch(rows, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "x array<double>"]), make)
+    return per_batch(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_x array<double>"]), make)
 
 
 class Model:
@@ -256,25 +256,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Lexicon and weights from at most ``most`` labelled rows outside the held-out third."""
     sample = Saved(labelled(docs, labels, "toxic", most), "labelled")
     lexicon = learn_lexicon(sample.df)
-    rows = sorted(_features(sample.df.select("doc_id", "text", "y"), lexicon).collect())
+    rows = sorted(_features(sample.df.select("doc_id", "text", "y"), lexicon, ("doc_id", "y")).collect())
     sample.drop()
-    x = np.array([r.x for r in rows], float).reshape(-1, len(FEATURES))
+    x = np.array([r._x for r in rows], float).reshape(-1, len(FEATURES))
     return Model(lexicon, logistic(x, np.array([float(r.y > 0) for r in rows])))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for every row of docs(doc_id, text, ...); null texts count as empty, other columns are not read.
+def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns of keep (else all), then score and predicted; columns of docs with these names are left out.
 
-    A text without a hit, the empty one included, has the score of the bias. A null doc_id stays null.
+    Null texts count as empty; a text without a hit, the empty one included, has the score of the bias.
     """
-    from .learning import remainder
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     w = model.weights
-    z = sum((F.col("x")[i] * F.lit(float(w[i])) for i in range(len(FEATURES))), F.lit(float(w[-1])))
+    z = sum((F.col("_x")[i] * F.lit(float(w[i])) for i in range(len(FEATURES))), F.lit(float(w[-1])))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
-    out = _features(cols, model.lexicon).select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), p.alias("score"))
+    rows = docs.select(*{c: F.col(f"`{c}`") for c in [*keep, "text"]}.values()).withColumn("text", F.col("text").cast("string"))
+    out = _features(rows, model.lexicon, keep).withColumn("score", p).drop("_x")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-__all__ = ["Matcher", "Model", "Reader", "fit", "learn_lexicon", "score", "sigmoid"]
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...); other columns are not read.
+
+    A null doc_id stays null and isn't held out.
+    """
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = scored(cols, model, ("doc_id",))
+    return out.select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+__all__ = ["Matcher", "Model", "Reader", "fit", "learn_lexicon", "score", "scored"]
