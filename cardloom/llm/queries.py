@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice_lm, pii, quality_classifier, quality_rules, sentence_pieces, simhash, toxicity, url_filter
+from . import decontaminate, lattice_lm, pii, quality_classifier, quality_rules, sentence_pieces, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, *quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,5 +54,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op9_lattice_lm": op9_lattice_lm, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_lattice_lm": op9_lattice_lm, "op10_url_filter": op10_url_filter}
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
