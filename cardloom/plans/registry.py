@@ -2,5 +2,477 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import catalog, collection, evaluate, export, fusion, ingest, reconcile, vectors
+from . import roles
+from .roles import table, with_roles
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Collections
+
+_PLACES = "SELECT DISTINCT collector, card_id, CAST(binder_id AS VARCHAR) AS place FROM items"
+
+
+@query(f"""{with_roles("items", "sets", "binders", "gaps")},
+places AS (SELECT collector, card_id, list_sort(list(place)) AS l FROM ({_PLACES}) GROUP BY ALL)
+SELECT collector, binder_id, card_id, number, coalesce(array_to_string(l, ','), '') AS owned_elsewhere FROM gaps LEFT JOIN places USING (collector, card_id)""")
+def q_set_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = collection.set_gaps(roles.set_binders(spark, sf_dir), roles.sets(spark, sf_dir), roles.items(spark, sf_dir))
+    return gaps.withColumn("owned_elsewhere", F.array_join("owned_elsewhere", ","))
+
+
+_OPEN = """open AS (
+  SELECT w.collector, w.card_id, w.priority, w.variant, w.min_condition, w.quantity,
+         count(i.card_id) FILTER (WHERE (w.variant IS NULL OR w.variant = i.variant) AND (w.min_condition IS NULL
+           OR list_position(['DMG', 'HP', 'MP', 'LP', 'NM'], i.condition) >= list_position(['DMG', 'HP', 'MP', 'LP', 'NM'], w.min_condition))) AS owned
+  FROM wishes w LEFT JOIN items i ON w.collector = i.collector AND w.card_id = i.card_id GROUP BY ALL)"""
+
+
+@query(f"""{with_roles("items", "sets", "binders", "gaps", "wishes")}, {_OPEN}
+SELECT collector, card_id, priority, 'manual' AS source, CAST(quantity AS BIGINT) AS quantity, 0 AS ordinal FROM open WHERE owned < quantity
+UNION ALL SELECT collector, card_id, 'need', 'set_gap', 1, 1 FROM gaps""")
+def q_wishlist_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = roles.items(spark, sf_dir)
+    gaps = collection.set_gaps(roles.set_binders(spark, sf_dir), roles.sets(spark, sf_dir), own)
+    return collection.wish_list(roles.manual_wishes(spark, sf_dir), gaps, own)
+
+
+@query(f"""{with_roles("items", "sets", "binders", "gaps", "wishes")}, {_OPEN},
+needs AS (SELECT collector, card_id FROM open WHERE owned < quantity AND priority = 'need' UNION SELECT collector, card_id FROM gaps)
+SELECT collector, binder_id, card_id, variant, condition, CAST(slot AS INTEGER) AS slot FROM items i
+WHERE binder_type = 'trade' AND NOT keep AND NOT EXISTS (SELECT 1 FROM needs n WHERE n.collector = i.collector AND n.card_id = i.card_id)""")
+def q_tradeables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = roles.items(spark, sf_dir)
+    needs = q_wishlist_open(spark, sf_dir).filter("priority = 'need'")
+    return collection.tradeables(own, needs).select("collector", "binder_id", "card_id", "variant", "condition", F.col("slot").cast("int").alias("slot"))
+
+
+@query(f"""{with_roles("items")}
+SELECT collector, CASE WHEN collector % 2 = 0 THEN 'free' ELSE 'premium' END AS plan, count(*) AS cards_held,
+       CASE WHEN collector % 2 = 0 THEN count(*) < 200 ELSE true END AS can_add,
+       CAST(CASE WHEN collector % 2 = 0 THEN greatest(200 - count(*), 0) END AS BIGINT) AS remaining FROM items GROUP BY collector""")
+def q_card_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = collection.card_counts(roles.items(spark, sf_dir))
+    return collection.plan_gate(held.withColumn("plan", F.when(F.col("collector") % 2 == 0, "free").otherwise("premium")))
+
+
+@query("""SELECT collector, ordinal, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT o_custkey AS collector, o_orderkey AS ordinal, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5""")
+def q_trade_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collector"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").alias("completed_at"))
+    return collection.trade_history(o, 5).drop("completed_at")
+
+
+_FREE = "SELECT *, row_number() OVER (PARTITION BY collector, card_id, variant, condition ORDER BY binder_id, page, slot) AS nth FROM items WHERE binder_type = 'trade' AND NOT keep"
+
+
+@query(f"""{with_roles("items")}, free AS ({_FREE})
+SELECT collector, binder_id, card_id, variant, condition, CAST(slot AS INTEGER) AS slot FROM items WHERE binder_type <> 'trade' OR keep
+UNION ALL SELECT collector, binder_id, card_id, variant, condition, CAST(slot AS INTEGER) FROM free WHERE nth > 1
+UNION ALL SELECT collector, NULL, card_id + 1, variant, condition, 0 FROM free WHERE nth = 1""")
+def q_apply_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = roles.items(spark, sf_dir)
+    gave = own.filter("binder_type = 'trade' and not keep").select("collector", "card_id", "variant", "condition").distinct()
+    got = gave.withColumn("card_id", F.col("card_id") + 1)
+    return collection.apply_trade(own, gave, got).select("collector", "binder_id", "card_id", "variant", "condition", F.col("slot").cast("int").alias("slot"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations trade with each other: what their trade binders offer meets what their customers wish for."""
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collector"), F.col("c_nationkey").alias("nation"))
+    offered = roles.items(spark, sf_dir).filter("binder_type = 'trade' and not keep").join(nation, "collector")
+    offered = offered.withColumn("ordinal", F.row_number().over(Window.partitionBy("nation", "card_id").orderBy("binder_id", "slot", "variant", "condition")).cast("long"))
+    wants = roles.manual_wishes(spark, sf_dir).join(nation, "collector")
+    wants = wants.withColumn("ordinal", F.col("collector")).withColumn("nation", (F.col("nation") + 1) % 25)
+    pair = F.col("nation").cast("string").alias("pair")
+    return offered.select(pair, "card_id", "ordinal", "variant", "condition"), wants.select(pair, "card_id", "ordinal", "variant", "min_condition", "priority", "quantity")
+
+
+@query(f"""{with_roles("items", "wishes")},
+offered AS (SELECT CAST(c_nationkey AS VARCHAR) AS pair, card_id, row_number() OVER (PARTITION BY c_nationkey, card_id ORDER BY binder_id, slot, variant, condition) AS ordinal
+  FROM items JOIN customer ON collector = c_custkey WHERE binder_type = 'trade' AND NOT keep),
+room AS (SELECT CAST((c_nationkey + 1) % 25 AS VARCHAR) AS pair, card_id, sum(quantity) AS room FROM wishes JOIN customer ON collector = c_custkey GROUP BY ALL)
+SELECT pair, card_id, ordinal, CAST(ordinal AS INTEGER) AS nth FROM offered JOIN room USING (pair, card_id) WHERE ordinal <= room""")
+def q_match_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.simple_offers(*_sides(spark, sf_dir))
+
+
+@query()
+def q_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offered, wants = _sides(spark, sf_dir)
+    return collection.offers(offered.withColumn("card_id", F.col("card_id").cast("string")), wants.withColumn("card_id", F.col("card_id").cast("string")))
+
+
+@query()
+def q_fair_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' largest orders against those of their neighbours by key, valued at the order's price."""
+    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).filter("nth <= 6")
+    sides = o.select(
+        F.floor(F.col("o_custkey") / 2).cast("string").alias("pair"), F.when(F.col("o_custkey") % 2 == 0, "get").otherwise("give").alias("side"), F.col("o_orderkey").cast("string").alias("card_id"),
+        F.col("nth").cast("long").alias("ordinal"), F.when(F.col("o_orderstatus") == "F", "need").otherwise("want").alias("priority"), F.col("o_totalprice").alias("value"),
+    )
+    return collection.fair_trade(sides)
+
+
+# Text
+
+_LOCAL = "concat(CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'TG0' WHEN 2 THEN 'SWSH' ELSE '?' END, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey AS VARCHAR) ELSE '' END, CASE WHEN p_partkey % 8 = 0 THEN 'a' ELSE '' END)"
+
+
+def _local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    prefix = F.element_at(F.array(F.lit(""), F.lit("TG0"), F.lit("SWSH"), F.lit("?")), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("part_id"), F.concat(prefix, F.when(k % 4 < 3, k.cast("string")).otherwise(""), F.when(k % 8 == 0, "a").otherwise("")).alias("local_id"), "p_name", "p_type", "p_brand", "p_size")
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS part_id, {_LOCAL} AS local_id FROM part),
+m AS (SELECT *, regexp_matches(local_id, '^[A-Za-z-]*?[0-9]+[A-Za-z]*$') AS ok FROM l)
+SELECT part_id, CASE WHEN ok THEN regexp_extract(local_id, '^([A-Za-z-]*?)([0-9]+)([A-Za-z]*)$', 1) ELSE local_id END AS prefix,
+       CASE WHEN ok THEN CAST(regexp_extract(local_id, '^([A-Za-z-]*?)([0-9]+)([A-Za-z]*)$', 2) AS INTEGER) END AS number,
+       CASE WHEN ok THEN regexp_extract(local_id, '^([A-Za-z-]*?)([0-9]+)([A-Za-z]*)$', 3) ELSE '' END AS suffix FROM m""")
+def q_parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_ids(spark, sf_dir).select("part_id", T.number_parts(F.col("local_id")).alias("p")).select("part_id", "p.*")
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS part_id, {_LOCAL} AS local_id FROM part)
+SELECT part_id, CASE WHEN regexp_matches(local_id, '^[A-Za-z]*?[0-9]+[A-Za-z]*$')
+  THEN upper(regexp_extract(local_id, '^([A-Za-z]*?)0*([0-9]+)([A-Za-z]*)$', 1)) || regexp_extract(local_id, '^([A-Za-z]*?)0*([0-9]+)([A-Za-z]*)$', 2) || lower(regexp_extract(local_id, '^([A-Za-z]*?)0*([0-9]+)([A-Za-z]*)$', 3))
+  ELSE local_id END AS normal FROM l""")
+def q_norm_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_ids(spark, sf_dir).select("part_id", T.normal_number(F.col("local_id")).alias("normal"))
+
+
+@query("""SELECT s_suppkey AS id, regexp_replace(replace(lower('SV' || lpad(CAST(s_suppkey % 12 AS VARCHAR), 2, '0') || CASE WHEN s_suppkey % 2 = 0 THEN '.5' ELSE '' END), '.', 'pt'), '([a-z])0+([0-9])', '\\1\\2', 'g') AS normal FROM supplier""")
+def q_norm_set_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    raw = F.concat(F.lit("SV"), F.lpad((k % 12).cast("string"), 2, "0"), F.when(k % 2 == 0, ".5").otherwise(""))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), T.normal_set_id(raw).alias("normal"))
+
+
+@query("""SELECT p_partkey AS part_id, CASE WHEN lower(trim(p_type)) IN ('common', 'uncommon') THEN lower(trim(p_type)) WHEN lower(trim(p_type)) IN ('', 'promo') THEN NULL ELSE 'rare' END AS tier
+FROM (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Common' WHEN 'STANDARD' THEN ' uncommon' WHEN 'PROMO' THEN 'Promo' ELSE p_type END AS p_type FROM part)""")
+def q_rarity_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_type") == "ECONOMY", "Common").when(F.col("p_type") == "STANDARD", " uncommon").when(F.col("p_type") == "PROMO", "Promo").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), T.rarity_tier(kind).alias("tier"))
+
+
+@query("""SELECT s_suppkey AS id, regexp_replace(lower(strip_accents('Pokémon ' || s_name)), '[^a-z0-9]', '', 'g') AS normal FROM supplier""")
+def q_norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.normal_name(F.concat(F.lit("Pokémon "), "s_name")).alias("normal"))
+
+
+@query("""SELECT p_partkey AS part_id, lower(p_type) || CASE WHEN p_size % 2 = 0 THEN '/shadowless' ELSE '' END || CASE p_size % 3 WHEN 0 THEN '+1st-edition+w-promo' WHEN 1 THEN '+w-promo' ELSE '' END
+  || CASE WHEN p_size % 5 = 0 THEN '@pokeball' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN '#jumbo' ELSE '' END AS key FROM part""")
+def q_variant_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size")
+    stamps = F.when(s % 3 == 0, F.array(F.lit("w-promo"), F.lit("1st-edition"))).when(s % 3 == 1, F.array(F.lit("w-promo")))
+    key = T.variant_key(F.lower("p_type"), F.when(s % 2 == 0, "shadowless"), stamps, F.when(s % 5 == 0, "pokeball"), F.when(s % 7 == 0, "jumbo").otherwise("standard"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), key.alias("key"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(source || ',' || lang, '[,"\\n]') THEN '"' || replace(source || ',' || lang, '"', '""') || '"' ELSE source || ',' || lang END AS cell,
+  CASE WHEN regexp_matches(source, '[,"\\n]') THEN '"' || replace(source, '"', '""') || '"' ELSE source END AS plain FROM documents""")
+def q_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.csv_cell(F.concat_ws(",", "source", "lang")).alias("cell"), T.csv_cell(F.col("source")).alias("plain"))
+
+
+# Catalog
+
+
+@query("""SELECT set_id, prefix, n FROM (
+  SELECT l_suppkey AS set_id, l_returnflag AS prefix, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, min(l_orderkey * 100 + l_linenumber), l_returnflag) AS nth
+  FROM lineitem GROUP BY 1, 2) WHERE nth = 1""")
+def q_main_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_returnflag").alias("prefix"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    return catalog.most_common(li, ["set_id"], "prefix", "seq")
+
+
+@query("""WITH have AS (SELECT DISTINCT p_brand AS set_id, p_size AS number FROM part),
+want AS (SELECT set_id, unnest(range(1, 81)) AS number FROM (SELECT DISTINCT p_brand AS set_id FROM part)),
+gone AS (SELECT set_id, list_sort(list(number)) AS l FROM want WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.set_id = want.set_id AND h.number = want.number) GROUP BY 1)
+SELECT set_id AS ref, len(l) || ': ' || array_to_string(l[1:20], ', ') || CASE WHEN len(l) > 20 THEN ' …' ELSE '' END AS detail FROM gone""")
+def q_missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    sets = part.select(F.col("p_brand").alias("set_id")).distinct().withColumn("printed_total", F.lit(80))
+    cards = part.select(F.col("p_brand").alias("set_id"), F.col("p_size").alias("number"), F.lit("").alias("number_prefix"))
+    return catalog.missing_number_issues(sets, cards).select("ref", "detail")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM events) WHERE nth > 1")
+def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
+
+
+@query("""WITH i AS (SELECT lang AS ref, 'missing_name' AS kind FROM documents WHERE n_chars < 200 UNION ALL SELECT lang, 'no_variants' FROM documents WHERE n_chars % 7 = 0
+  UNION ALL SELECT lang, 'missing_rarity' FROM documents WHERE source = 'src0')
+SELECT kind, count(*) AS n FROM i GROUP BY 1""")
+def q_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    cards = d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("n_chars") >= 200, "x").alias("name"), F.when(F.col("source") != "src0", F.col("source")).alias("rarity"), (F.col("n_chars") % 7).alias("v"))
+    return catalog.issue_counts(catalog.card_issues(cards, F.col("v")))
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sets FROM documents GROUP BY 1")
+def q_lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sets"))
+
+
+# Ingestion
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "nodata").otherwise("ok")
+    return e.select("event_id", F.col("user_id").alias("card_id"), status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at"), "value", "props")
+
+
+_LOG = """log AS (SELECT event_id, user_id AS card_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'nodata' ELSE 'ok' END AS status,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS fetched_at, value, props FROM events)"""
+_NOW = "2024-01-31T00:00:00Z"
+
+
+@query(f"""WITH {_LOG} SELECT c_custkey AS card_id FROM customer WHERE NOT EXISTS (
+  SELECT 1 FROM log WHERE card_id = c_custkey AND fetched_at >= '2024-01-26T00:00:00Z' AND status <> 'error')""")
+def q_fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cutoff = spark.range(1).select(T.iso_cutoff(_NOW, 120)).first()[0]
+    return ingest.refresh_plan(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("card_id")), _log(spark, sf_dir), cutoff)
+
+
+@query(f"""WITH {_LOG} SELECT card_id, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY event_id DESC) AS nth FROM log) WHERE nth = 1""")
+def q_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).select("card_id", "event_id", "status")
+    return ingest.upsert(log.filter("event_id % 2 = 0"), log.filter("event_id % 2 = 1"), ["card_id"], "event_id")
+
+
+@query(f"""WITH {_LOG}, p AS (SELECT DISTINCT card_id, CASE WHEN event_id % 3 = 0 THEN 'tcgplayer' ELSE 'cardmarket' END AS source FROM log WHERE status = 'ok' AND value > 25),
+a AS (SELECT c_custkey AS card_id, bool_or(source = 'tcgplayer') AS t, bool_or(source = 'cardmarket') AS c FROM customer LEFT JOIN p ON card_id = c_custkey GROUP BY 1)
+SELECT count(*) AS attempted, count(*) FILTER (WHERE t) AS tcgplayer, count(*) FILTER (WHERE c) AS cardmarket, count(*) FILTER (WHERE t OR c) AS any_source, count(*) FILTER (WHERE t IS NULL) AS no_price FROM a""")
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _log(spark, sf_dir).filter("status = 'ok' and value > 25").select("card_id", F.when(F.col("event_id") % 3 == 0, "tcgplayer").otherwise("cardmarket").alias("source"))
+    return ingest.coverage(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("card_id")), prices)
+
+
+@query(f"""WITH {_LOG} SELECT card_id % 10 AS shard, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'nodata') AS n_nodata,
+  count(*) FILTER (WHERE status = 'error') AS n_error, avg(CASE WHEN status = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate, avg(CASE WHEN status = 'error' THEN 1.0 ELSE 0.0 END) <= 0.2 AS passes FROM log GROUP BY 1""")
+def q_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.status_summary(_log(spark, sf_dir).withColumn("shard", F.col("card_id") % 10), "shard", ("ok", "nodata", "error"), 0.2)
+
+
+@query(f"""WITH {_LOG} SELECT card_id AS set_id, count(*) FILTER (WHERE status <> 'ok') AS missing, count(*) AS total FROM log GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, set_id LIMIT 25""")
+def q_missing_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.missing_by_set(_log(spark, sf_dir).withColumnRenamed("card_id", "set_id"), 25)
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS usd FROM events""")
+def q_price_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k of props under a vendor's field name; in quotes, which doesn't count as a price, in every fourth row."""
+    k = F.get_json_object("props", "$.k")
+    name = F.element_at(F.array(*map(F.lit, T.PRICE_FIELDS["tcgplayer"])), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.concat(F.lit('{"unit": "USD", "'), name, F.lit('": '), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", T.first_price(text, "tcgplayer").alias("usd"))
+
+
+# Reconciliation
+
+
+def _both_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    date = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    ours = s.select(k.alias("seq"), F.concat(F.lit("sv"), F.lpad(k.cast("string"), 3, "0")).alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("C"), k.cast("string"))).alias("code"), date.alias("date"))
+    other = F.when(k % 2 == 0, F.concat(F.lit("SV"), k.cast("string"))).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    theirs = s.filter(k % 10 != 9).select(k.alias("seq"), other.alias("id"), F.when(k % 5 == 0, F.lit("other")).otherwise(F.upper("s_name")).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("C"), k.cast("string"))).otherwise("").alias("code"), date.alias("date"))
+    return ours, theirs
+
+
+@query("""SELECT 'sv' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS our_id, CASE WHEN s_suppkey % 2 = 0 THEN 'SV' ELSE 'x' END || s_suppkey AS their_id
+FROM supplier WHERE s_suppkey % 10 <> 9 AND (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0)""")
+def q_entity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.map_sets(*_both_sets(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT p_brand AS set_id, CAST(p_partkey AS VARCHAR) AS number, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN 'Common' ELSE 'Rare Holo' END AS rarity, p_partkey FROM part WHERE p_partkey % 11 <> 0),
+t AS (SELECT p_brand AS set_id, CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_partkey % 13 = 0 THEN 'other' ELSE upper(p_name) END AS name, CASE WHEN p_partkey % 4 = 0 THEN 'common' ELSE 'Rare' END AS rarity, p_partkey FROM part WHERE p_partkey % 17 <> 0)
+SELECT set_id, number, CASE WHEN t.p_partkey IS NULL THEN 'xcheck_only_in_catalog' WHEN o.p_partkey IS NULL THEN 'xcheck_missing_from_catalog'
+  WHEN regexp_replace(lower(o.name), '[^a-z0-9]', '', 'g') <> regexp_replace(lower(t.name), '[^a-z0-9]', '', 'g') THEN 'xcheck_name'
+  WHEN (o.rarity = 'Common') <> (t.rarity = 'common') THEN 'xcheck_rarity' ELSE 'agree' END AS kind FROM o FULL JOIN t USING (set_id, number)""")
+def q_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    base = (k.alias("seq"), F.col("p_brand").alias("set_id"))
+    ours = p.filter(k % 11 != 0).select(*base, k.cast("string").alias("number"), F.col("p_name").alias("name"), F.when(k % 6 == 0, "Common").otherwise("Rare Holo").alias("rarity"))
+    theirs = p.filter(k % 17 != 0).select(*base, F.lpad(k.cast("string"), 9, "0").alias("number"), F.when(k % 13 == 0, "other").otherwise(F.upper("p_name")).alias("name"), F.when(k % 4 == 0, "common").otherwise("Rare").alias("rarity"))
+    return reconcile.compare_cards(ours, theirs).select("set_id", "number", "kind")
+
+
+# Vectors and evidence
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(x.embedding[i] AS DOUBLE)))"
+
+
+def _scored(k: int) -> str:
+    return f"""s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, {_DOT} AS score FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {k})"""
+
+
+def _asked(index: DataFrame) -> DataFrame:
+    return index.filter("id % 100 = 0")
+
+
+@query(f"WITH {_scored(10)} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r")
+def q_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return vectors.search(index, _asked(index), 10, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_scored(1)}, m AS (SELECT 1 - score AS margin FROM r)
+SELECT round(quantile_cont(margin, 0.01), 6) AS p1, round(quantile_cont(margin, 0.05), 6) AS p5, round(quantile_cont(margin, 0.25), 6) AS p25, round(quantile_cont(margin, 0.5), 6) AS p50,
+  avg(CASE WHEN margin < 0.01 THEN 1.0 ELSE 0.0 END) AS near_below, avg(CASE WHEN margin <= 0.01 THEN 1.0 ELSE 0.0 END) AS near_at_most, round(max(margin), 6) AS max_margin FROM m""")
+def q_nn_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    out = vectors.margin_summary(vectors.margins(index, _asked(index)))
+    return out.select(*(F.round(c, 6).alias(c) if c[0] in "pm" else c for c in out.columns))
+
+
+@query(f"""WITH {_scored(1)} SELECT query_id, id AS nearest FROM r WHERE 1 - score <= 0.75""")
+def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return vectors.margins(index, _asked(index)).filter("margin <= 0.75").select("query_id", "nearest")
+
+
+@query(f"""WITH {_scored(1000000)}, t AS (SELECT r.query_id, r.score, x.label = q.label AS same FROM r JOIN embeddings x ON r.id = x.vec_id JOIN embeddings q ON r.query_id = q.vec_id),
+b AS (SELECT query_id, max(score) FILTER (WHERE same) AS best FROM t GROUP BY 1),
+n AS (SELECT b.query_id, count(*) FILTER (WHERE t.score > b.best) AS better FROM t JOIN b USING (query_id) WHERE best IS NOT NULL GROUP BY 1)
+SELECT avg(CASE WHEN better < 1 THEN 1.0 ELSE 0.0 END) AS top1, avg(CASE WHEN better < 4 THEN 1.0 ELSE 0.0 END) AS top4, avg(CASE WHEN better < 5 THEN 1.0 ELSE 0.0 END) AS top5,
+  avg(CASE WHEN better < 20 THEN 1.0 ELSE 0.0 END) AS top20, median(better) AS median_rank, max(better) AS max_rank FROM n""")
+def q_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many neighbours score above the best one of the query's own label."""
+    index = _index(spark, sf_dir)
+    label = index.select("id", "label")
+    every = vectors.search(index, _asked(index), 1 << 30, exclude_self=True)
+    own = _asked(index).select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    found = every.join(label, "id").join(F.broadcast(own), "query_id")  # the stated query set
+    best = found.groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("score"))).alias("best"))
+    ranks = found.join(best, "query_id").filter("best is not null").groupBy("query_id").agg(F.count_if(F.col("score") > F.col("best")).alias("better"))
+    return vectors.rank_metrics(ranks)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of each query vector as candidates of a pocket; the label is the set, nine pockets make a page."""
+    index = _index(spark, sf_dir)
+    found = vectors.search(index, _asked(index), 10, exclude_self=True).join(index.select("id", "label"), "id")
+    slot = F.floor(F.col("query_id") / 100)
+    return found.select(
+        F.floor(slot / 9).alias("page"), (slot % 9).alias("pocket"), F.col("id").alias("card_id"), F.col("label").alias("set_id"), (F.col("id") % 60).alias("number"),
+        F.round("score", 6).alias("visual"), (F.col("id") % 7 == 0).alias("number_hit"), F.lit(False).alias("total_hit"), (F.col("id") % 90).cast("int").alias("orb"),
+    )
+
+
+_FUSED = f"""{_scored(10)},
+c AS (SELECT (query_id // 100) // 9 AS page, (query_id // 100) % 9 AS pocket, id AS card_id, label AS set_id, id % 60 AS number, round(score, 6) AS visual,
+  14 * round(score, 6) + CASE WHEN id % 7 = 0 THEN 3 ELSE 0 END + 0.08 * least(id % 90, 50) AS score FROM r JOIN embeddings ON id = vec_id),
+e AS (SELECT *, exp(score - max(score) OVER w) AS x, row_number() OVER (PARTITION BY page, pocket ORDER BY round(score, 9) DESC, card_id) AS rank FROM c WINDOW w AS (PARTITION BY page, pocket)),
+p AS (SELECT *, x / sum(x) OVER (PARTITION BY page, pocket) AS probability FROM e)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.with_probability(_candidates(spark, sf_dir).withColumn("score", F.round(fusion.raw_score(F.lit(0), F.lit(0)), 9)))
+
+
+@query(f"WITH {_FUSED} SELECT CAST(page AS BIGINT) AS page, CAST(pocket AS BIGINT) AS pocket, card_id, round(probability, 6) AS probability, CAST(rank AS INTEGER) AS rank FROM p")
+def q_softmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("page", "pocket", "card_id", F.round("probability", 6).alias("probability"), "rank")
+
+
+@query(f"""WITH {_FUSED} SELECT CAST(page AS BIGINT) AS page, CAST(pocket AS BIGINT) AS pocket, card_id, CASE WHEN probability >= 0.9 AND visual >= 0.55 THEN 'confirmed' ELSE 'review' END AS status,
+  CASE WHEN visual < 0.55 THEN 'low_visual_match' ELSE '' END AS flags FROM p WHERE rank = 1""")
+def q_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.decide(_fused(spark, sf_dir)).select("page", "pocket", "card_id", "status", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"""WITH {_FUSED}, v AS (SELECT page, set_id, count(*) AS n, min(pocket) AS seen FROM p WHERE rank = 1 AND probability >= 0.1 GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY page) AS every, row_number() OVER (PARTITION BY page ORDER BY n DESC, seen) AS nth FROM v)
+SELECT CAST(page AS BIGINT) AS page, set_id AS dominant FROM w WHERE nth = 1 AND n >= 2 AND n * 2 >= every""")
+def q_dominant_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.dominant_set(_fused(spark, sf_dir).filter("rank = 1"), 0.1)
+
+
+@query(f"""WITH {_FUSED}, v AS (SELECT page, number - pocket AS base, count(*) AS n, min(pocket) AS seen FROM p WHERE rank = 1 AND probability >= 0.1 GROUP BY ALL)
+SELECT CAST(page AS BIGINT) AS page, CAST(base AS BIGINT) AS base FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, seen) AS nth FROM v) WHERE nth = 1""")
+def q_sequence_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.page_base(_fused(spark, sf_dir).filter("rank = 1"), F.col("pocket"), 0.1)
+
+
+@query()
+def q_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passes: scores, the page's set and sequence, rescored and decided."""
+    out = fusion.decide(fusion.passes(_candidates(spark, sf_dir), F.col("pocket")), F.col("pocket"))
+    return out.select("page", "pocket", "card_id", F.round("probability", 6).alias("probability"), "status", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH o AS (SELECT quality = 1 AS correct, (doc_id % 100) / 100.0 AS probability FROM labels), t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) AS threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE probability >= threshold) AS auto, avg(CASE WHEN probability >= threshold THEN CASE WHEN correct THEN 1.0 ELSE 0.0 END END) AS precision,
+  avg(CASE WHEN probability >= threshold THEN 1.0 ELSE 0.0 END) AS coverage FROM o CROSS JOIN t GROUP BY 1""")
+def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.threshold_sweep(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct"), (F.col("doc_id") % 100 / F.lit(100.0)).alias("probability")))
+
+
+# Exports
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.sets(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("name")), "card_id").select("card_id", "name", F.col("set_id").alias("set_name"), T.number_label(F.col("number").cast("string"), F.col("printed_total")).alias("number_label"))
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = roles.manual_wishes(spark, sf_dir)
+    return w.select("collector", F.col("card_id").alias("ordinal"), "card_id", "priority", F.lit("manual").alias("source"), "quantity", F.when(F.col("collector") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("owned_elsewhere"))
+
+
+_NAMED = """named AS (SELECT w.*, coalesce(p_name, '') AS name, coalesce(set_id, '') AS set_name, coalesce(number || '/' || printed_total, '') AS label
+  FROM wishes w LEFT JOIN sets USING (card_id) LEFT JOIN part ON p_partkey = card_id)"""
+
+
+@query(f"""{with_roles("sets", "wishes")}, {_NAMED}
+SELECT collector, 'card_id,name,set,number,priority,source,quantity,owned_elsewhere' || chr(10) || concat_ws(',', card_id, name, set_name, label, priority, 'manual', quantity, CASE WHEN collector % 4 = 0 THEN 'a;b' ELSE '' END) || chr(10) AS csv FROM named""")
+def q_wishlist_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.wishlist_csv(_listed(spark, sf_dir), _meta(spark, sf_dir))
+
+
+@query(f"""{with_roles("sets", "wishes")}, {_NAMED}
+SELECT collector, 'Need 1:' || chr(10) || '  ' || CASE WHEN name || label = '' THEN CAST(card_id AS VARCHAR) ELSE name || ' ' || label END || CASE WHEN set_name <> '' THEN ' (' || set_name || ')' ELSE '' END
+  || CASE WHEN quantity > 1 THEN ' x' || quantity ELSE '' END || CASE WHEN collector % 4 = 0 THEN '  [have a copy elsewhere]' ELSE '' END || chr(10) AS text FROM named""")
+def q_wishlist_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.wishlist_text(roles.manual_wishes(spark, sf_dir), _listed(spark, sf_dir), _meta(spark, sf_dir))
+
+
+@query(f"""{with_roles("sets")},
+b AS (SELECT set_id, '{{"cards":[' || string_agg('{{"id":"' || card_id || '","local_id":"' || number || '","name":"' || p_name || '","number":' || number || ',"number_prefix":"","number_suffix":"","rarity":null}}', ',' ORDER BY number) || '],"set":"' || set_id || '"}}' AS body, count(*) AS n FROM sets JOIN part ON p_partkey = card_id GROUP BY set_id)
+SELECT set_id, CAST(n AS INTEGER) AS n_cards, sha256(body) AS sha256 FROM b""")
+def q_pack_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("name"))
+    cards = roles.sets(spark, sf_dir).join(names, "card_id")
+    cards = cards.select("set_id", F.col("card_id").cast("string").alias("id"), F.col("number").cast("string").alias("local_id"), "name", "number", F.lit("").alias("number_prefix"), F.lit("").alias("number_suffix"), F.lit(None).cast("string").alias("rarity"))
+    return export.json_packs(cards).select("set_id", "n_cards", "sha256")
