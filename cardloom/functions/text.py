@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Conditions from worst to best.
 CONDITIONS = ("DMG", "HP", "MP", "LP", "NM")
@@ -45,7 +46,7 @@ def normal_number(number: Column) -> Column:
     return F.when(number.rlike(_LOOSE_NUMBER), F.concat(F.upper(part(1)), part(2), F.lower(part(3)))).otherwise(number)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_name(names: pd.Series) -> pd.Series:
     """Letters and digits only, without accents, in lower case; a null name is empty."""
     # Signs that stand for words.

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 #: Query vectors multiplied at once; more go through in blocks, each of which may be broadcast.
 BLOCK = 4096
@@ -128,7 +129,7 @@ def half(v: Column) -> Column:
     """Vectors after storage in 16-bit floats."""
     import pandas as pd
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def stored(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: None if r is None else np.asarray(r, np.float16).astype(np.float32))
 
