@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import Saved, free, per_batch, texts_of, words_of
 
 WINDOW, PHRASE = 20, 8
-#: Documents in a block: some 30 MB of text.
-BLOCK = 8192
+#: Documents in a block: some 15 MB of text.
+BLOCK = 4096
+#: Letters in each alphabet of an automaton's words.
+_FAN = 64
+#: Words hashed at once.
+_WORDS = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -51,18 +56,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Places:
-    """The windows of a text by phrase: at is the phrase's place, low the first window's start, count the windows."""
+    """The windows of some texts by phrase, all texts laid end to end: at is the phrase's place, low the first window's
+    start, count the number of windows, text the text's number; starts are the texts' first places.
+    """
 
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    def __init__(self, texts: list[list[bytes]]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        n = int(self.starts[-1])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts)), np.uint64, n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(_BASE, n))])
+        inside = np.repeat(self.starts[1:], size) - np.arange(n) >= WINDOW
+        if not inside.any():
+            self.low = self.count = self.at = self.text = self.phrase = self.context = np.zeros(0, np.int64)
+            return
         phrase = self.hashes(np.arange(n - PHRASE + 1), PHRASE)
         windows = np.lib.stride_tricks.sliding_window_view(phrase, WINDOW - PHRASE + 1)
-        chosen = windows.argmin(axis=1) + np.arange(len(windows))
-        self.low = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-        self.count = np.diff(np.r_[self.low, len(chosen)])
-        self.at = chosen[self.low]
+        start = np.flatnonzero(inside)
+        chosen = windows.argmin(axis=1)[start] + start
+        first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        self.low, self.at = start[first], chosen[first]
+        self.count = np.diff(np.r_[first, len(chosen)])
+        self.text = np.searchsorted(self.starts, self.low, side="right") - 1
         self.phrase = phrase[self.at].view(np.int64)
         form = ((self.at - self.low) * (WINDOW + 1) + self.count).astype(np.uint64)
         self.context = _mixed(self.hashes(self.low, WINDOW - 1 + self.count) + form * np.uint64(_INVERSE)).view(np.int64)
@@ -72,6 +87,18 @@ class Places:
         return _mixed((self.sums[start + size] - self.sums[start]) * _power(_INVERSE, int(start[-1]) + 1 if len(start) else 0)[start])
 
 
+def _chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """First and end of runs of texts of some _WORDS words."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n < _WORDS):
+            n += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
+
+
 def _by_block(blocks: pa.Array) -> Iterator[tuple[int, int, int]]:
     """block, first row and end of each run of rows of a block."""
     b = blocks.to_numpy(zero_copy_only=False)
@@ -87,13 +114,12 @@ def _phrases(rows: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch):
             ids = batch.column(2).to_numpy()
             for block, i, j in _by_block(batch.column(0)):
+                texts = [words_of(t) for t in texts_of(batch.column(3).slice(i, j - i))]
                 parts = []
-                for k, text in zip(range(i, j), texts_of(batch.column(3).slice(i, j - i))):
-                    words = words_of(text)
-                    if len(words) >= WINDOW:
-                        p = Places(words)
-                        parts.append((p.phrase, p.context, np.full(len(p.low), ids[k]), p.low))
-                if not parts:
+                for k, m in _chunks(texts):
+                    p = Places(texts[k:m])
+                    parts.append((p.phrase, p.context, ids[i + k + p.text], p.low - p.starts[p.text]))
+                if not sum(len(x[0]) for x in parts):
                     continue
                 phrase, context, doc, low = map(np.concatenate, zip(*parts))
                 order = np.lexsort((low, doc, phrase))
@@ -109,74 +135,112 @@ def _phrases(rows: DataFrame) -> DataFrame:
     return per_batch(rows.select("block", "uid", "doc", "text"), "block long, phrase long, n long, least long, most long, doc long, low long", make)
 
 
+class _Letters(dict):
+    """The words of phrases as short strings. Each place of a string, and the last one, has an alphabet of its own, so that
+    matches begin and end with words, and no node of the automaton has more than a few children, which are searched
+    one by one.
+    """
+
+    def __missing__(self, word: bytes) -> str:
+        n, out, place = len(self), [], 0
+        while n or not out:
+            n, digit = divmod(n, _FAN)
+            out.append(chr(1 + (2 * place + (n == 0)) * _FAN + digit))
+            place += 1
+        self[word] = code = "".join(out)
+        return code
+
+
+def _merged(rows: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, given in order, with adjoining ones of a row put together."""
+    if not len(rows):
+        return rows, low, count
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (low[1:] != low[:-1] + count[:-1])])
+    return rows[first], low[first], np.add.reduceat(count, first)
+
+
 def _located(texts: pa.Table, phrases: pa.Table) -> pa.Table:
     """Runs of windows to remove (hash null: uid, low, count) and windows to be judged (uid, low, hash)."""
-    table = dict(zip(phrases.column("phrase").to_pylist(), zip(phrases.column("same").to_pylist(), phrases.column("doc").to_pylist(), phrases.column("low").to_pylist())))
-    word_ids: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    order = np.argsort(phrases.column("phrase").to_numpy())
+    known, same, first_doc, first_low = (phrases.column(c).to_numpy(zero_copy_only=False)[order] for c in ("phrase", "same", "doc", "low"))
     every = [words_of(t) for c in texts.column("text").chunks for t in texts_of(c)]
-    uids, docs = texts.column("uid").to_pylist(), texts.column("doc").to_pylist()
+    uid, doc = texts.column("uid").to_numpy(), texts.column("doc").to_numpy()
     block = texts.column("block")[0].as_py()
-    numbers: dict[int, int] = {}
-    places = {}
-    for k, words in enumerate(every if table else ()):
-        if len(words) < WINDOW:
-            continue
-        p = Places(words)
-        hit = [x for x, h in enumerate(p.phrase.tolist()) if h in table]
-        if not hit:
-            continue
-        places[k] = p
-        for x in hit:
-            h = int(p.phrase[x])
-            if h not in numbers:
-                numbers[h] = len(numbers)
-                at = int(p.at[x])
-                automaton.add_word(tuple(word_ids.setdefault(w, len(word_ids) + 1) for w in words[at : at + PHRASE]), numbers[h])
-    out_uid, out_doc, out_low, out_count, out_hash = [], [], [], [], []
-    if numbers:
+    letters = _Letters()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    compiled = np.zeros(len(known), bool)
+    runs = list(_chunks(every)) if len(known) else []
+    holding = []  # texts with a phrase that recurs; the others hold no occurrence to be located
+    for i, j in runs:  # the words of each phrase, from where it first stands in this block
+        p = Places(every[i:j])
+        number = np.minimum(np.searchsorted(known, p.phrase), len(known) - 1)
+        hit = known[number] == p.phrase
+        holding.append(np.unique(p.text[hit]).tolist())
+        new = np.flatnonzero(hit & ~compiled[number])
+        for x, k in zip(new.tolist(), number[new].tolist()):
+            if not compiled[k]:
+                compiled[k] = True
+                t = int(p.text[x])
+                at = int(p.at[x] - p.starts[t])
+                automaton.add_word("".join([letters[w] for w in every[i + t][at : at + PHRASE]]), k)
+    out = {c: [] for c in ("uid", "doc", "low", "count", "hash")}
+    null = []
+
+    def put(rows: np.ndarray, low: np.ndarray, count: np.ndarray, hashes: np.ndarray | None) -> None:
+        for c, v in zip(out, (uid[rows], doc[rows], low, count, np.zeros(len(rows), np.int64) if hashes is None else hashes)):
+            out[c].append(v)
+        null.append(np.full(len(rows), hashes is None))
+
+    differing = []
+    if compiled.any():
         automaton.make_automaton()
-        facts = [table[h] for h in numbers]
-        met: dict[tuple[int, int], tuple[int, int]] = {}  # phrase and context: the first place in this block
-        pending = []
-        for k, p in places.items():
-            find = word_ids.get
-            found = {end - PHRASE + 1: number for end, number in automaton.iter(tuple([find(w, 0) for w in every[k]]))}
-            doc = docs[k]
-            for x, at in enumerate(p.at.tolist()):
-                number = found.get(at)
-                if number is None:
-                    continue
-                same, first_doc, first_low = facts[number]
-                low, count = int(p.low[x]), int(p.count[x])
-                if same:
-                    if (doc, low) > (first_doc, first_low):
-                        out_uid.append(uids[k])
-                        out_doc.append(doc)
-                        out_low.append(low)
-                        out_count.append(count)
-                        out_hash.append(None)
-                    continue
-                key = (number, int(p.context[x]))
-                if key not in met or (doc, low) < met[key]:
-                    met[key] = (doc, low)
-                pending.append((k, x, key))
-        for k, x, key in pending:
-            p, doc = places[k], docs[k]
-            low, count = int(p.low[x]), int(p.count[x])
-            if (doc, low) > met[key]:
-                rows = [(low, count, None)]
-            else:
-                starts = np.arange(low, low + count)
-                rows = [(s, 1, h) for s, h in zip(starts.tolist(), p.hashes(starts, WINDOW).view(np.int64).tolist())]
-            for s, c, h in rows:
-                out_uid.append(uids[k])
-                out_doc.append(doc)
-                out_low.append(s)
-                out_count.append(c)
-                out_hash.append(h)
-    n = len(out_uid)
-    return pa.table({"block": pa.array([block] * n, pa.int64()), "uid": pa.array(out_uid, pa.int64()), "doc": pa.array(out_doc, pa.int64()), "low": pa.array(out_low, pa.int64()), "count": pa.array(out_count, pa.int64()), "hash": pa.array(out_hash, pa.int64())})
+        find = letters.get
+        for (i, j), texts_with in zip(runs, holding):
+            if not texts_with:
+                continue
+            p = Places(every[i:j])
+            located = np.full(int(p.starts[-1]), -1)
+            for t in texts_with:
+                codes = [find(w, "\0") for w in every[i + t]]
+                found = list(automaton.iter("".join(codes)))
+                if found:
+                    ends, numbers = np.array(found).T
+                    last = np.searchsorted(np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes))), ends + 1)
+                    located[p.starts[t] + last + 1 - PHRASE] = numbers
+            x = np.flatnonzero(located[p.at] >= 0)
+            k, row = located[p.at[x]], i + p.text[x]
+            low = p.low[x] - p.starts[p.text[x]]
+            later = (doc[row] > first_doc[k]) | ((doc[row] == first_doc[k]) & (low > first_low[k]))
+            gone = same[k] & later
+            put(*_merged(row[gone], low[gone], p.count[x][gone]), None)
+            rest = np.flatnonzero(~same[k])
+            if len(rest):
+                x, k, row, low = x[rest], k[rest], row[rest], low[rest]
+                start = np.repeat(p.low[x], p.count[x]) + np.arange(p.count[x].sum()) - np.repeat(np.cumsum(p.count[x]) - p.count[x], p.count[x])
+                order = np.argsort(start, kind="stable")
+                hashes = np.empty(len(start), np.int64)
+                hashes[order] = p.hashes(start[order], WINDOW).view(np.int64)
+                differing.append((k, p.context[x], row, low, p.count[x], hashes))
+    if differing:
+        k, context, row, low, count = (np.concatenate([d[c] for d in differing]) for c in range(5))
+        hashes = np.concatenate([d[5] for d in differing])
+        # of a phrase's places in one context, the block's first is judged window by window; later ones go at once
+        order = np.lexsort((low, doc[row], context, k))
+        lead = np.r_[True, (k[order][1:] != k[order][:-1]) | (context[order][1:] != context[order][:-1])]
+        group = np.cumsum(lead) - 1
+        head = order[lead][group]
+        is_first = np.zeros(len(order), bool)
+        is_first[order] = (doc[row[order]] == doc[row[head]]) & (low[order] == low[head])
+        gone = np.flatnonzero(~is_first)
+        gone = gone[np.lexsort((low[gone], row[gone]))]
+        put(*_merged(row[gone], low[gone], count[gone]), None)
+        nth = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+        of = np.repeat(is_first, count)
+        put(np.repeat(row, count)[of], (np.repeat(low, count) + nth)[of], np.ones(int(of.sum()), np.int64), hashes[of])
+    columns = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+    n = len(columns["uid"])
+    hashed = pa.array(columns.pop("hash"), pa.int64(), mask=np.concatenate(null) if null else np.zeros(0, bool))
+    return pa.table({"block": pa.array([block] * n, pa.int64())} | {c: pa.array(v, pa.int64()) for c, v in columns.items()} | {"hash": hashed})
 
 
 def _cut(texts: pa.Table, runs: pa.Table, with_text: bool) -> pa.Table:
