@@ -52,6 +52,12 @@ def page_base(top: DataFrame, order: Column, threshold: float = CONFIRM) -> Data
     return counted.withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "seen"))).filter("nth = 1").select("page", "base")
 
 
+def set_page_base(pages: DataFrame, voted: DataFrame) -> DataFrame:
+    """page, base of pages(page, start_number, page_index, pockets): fixed by the page's index, else by vote; else no row."""
+    fixed = F.col("start_number") + F.col("page_index") * F.col("pockets")
+    return pages.join(voted, "page", "left").select("page", F.coalesce(fixed, "base").alias("base")).filter("base is not null")
+
+
 def passes(candidates: DataFrame, order: Column, explicit_set: DataFrame | None = None) -> DataFrame:
     """Scores without priors, then with the page's set and sequence; an explicit set (page, set_id) goes before."""
     first = with_probability(candidates.withColumn("score", raw_score(F.lit(0), F.lit(0)))).filter("rank = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,11 @@ def path_of(index: DataFrame, card_id: str) -> str | None:
     return row and row[0]
 
 
+def save(index: DataFrame, embedder: str, path: str) -> None:
+    """index(id, embedding) with 16-bit precision and the embedder's name, as Parquet."""
+    index.select("id", half(F.col("embedding")).alias("embedding"), F.lit(embedder).alias("embedder")).write.mode("overwrite").parquet(path)
+
+
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The query set, by id, a block at a time; the driver holds one block."""
     ids, rows = [], []
@@ -127,8 +133,6 @@ def fuse(scored: DataFrame, weights: tuple[float, ...] = (0.0, 0.25, 0.5, 1.0, 2
 
 def half(v: Column) -> Column:
     """Vectors after storage in 16-bit floats."""
-    import pandas as pd
-
     @F.pandas_udf(ArrayType(FloatType()))
     def stored(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: None if r is None else np.asarray(r, np.float16).astype(np.float32))

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import fusion, vectors
-from cardloom.sources import pack, readers
+from cardloom.operators import fusion, layout, vectors
+from cardloom.sources import fetch, pack, readers
 from cardloom.streaming import upsert
 
 
@@ -74,6 +74,54 @@ def test_fusion_passes(spark):
     assert [tuple(r) for r in fusion.wish_additions(empty, base, cards, F.col("pocket")).collect()] == [(0, 5, "a5")]
 
 
+def test_page_base_is_fixed_or_voted(spark):
+    pages = spark.createDataFrame([(1, 1, 2, 9), (2, 1, None, 9), (3, 1, None, 9)], "page long, start_number long, page_index long, pockets long")
+    voted = spark.createDataFrame([(1, 5), (2, 40)], "page long, base long")
+    assert sorted(map(tuple, fusion.set_page_base(pages, voted).collect())) == [(1, 19), (2, 40)]
+
+
+def test_layout(spark):
+    def profile(cells, length=240):
+        p = [1.0 + 0.01 * (i % 7) for i in range(length)]
+        for k in range(1, cells):
+            for i in range(-2, 3):
+                p[k * length // cells + i] = 0.1
+        return p
+
+    def score(p, n):
+        half = max(2, int(0.012 * len(p)))
+        dips = [min(p[max(0, int(k * len(p) / n) - half) : int(k * len(p) / n) + half + 1]) for k in range(1, n)]
+        cells = [np.median(p[int((k + 0.2) * len(p) / n) : int((k + 0.8) * len(p) / n)]) for k in range(n)]
+        return (np.median(cells) - np.mean(dips)) / (np.median(cells) + 1e-6)
+
+    df = spark.createDataFrame([(1, profile(3, 210), profile(3, 300)), (2, profile(2, 200), profile(2, 280))], "page long, col_profile array<double>, row_profile array<double>")
+    got = {r.page: r for r in layout.best_layout(df).collect()}
+    assert (got[1].rows, got[1].cols) == (3, 3) and (got[2].rows, got[2].cols) == (2, 2)
+    assert got[1].score == pytest.approx(score(profile(3, 210), 3) + score(profile(3, 300), 3))
+
+
+def test_fetch(spark):
+    def transport(url):
+        if url == "boom":
+            raise OSError("no route")
+        return {"ok": (200, b"body"), "gone": (404, b""), "bad": (403, b"")}[url]
+
+    plan = spark.createDataFrame([("a", "ok"), ("b", "gone"), ("c", "bad"), ("d", "boom")], "card_id string, url string")
+    got = {r.card_id: (r.status, r.http_status, r.bytes, r.error) for r in fetch.fetch(plan, transport, "2024-01-01T00:00:00Z", 1, lambda n: 0.0).collect()}
+    assert got == {"a": ("ok", 200, 4, None), "b": ("missing", 404, None, None), "c": ("error", None, None, "HTTP 403"), "d": ("error", None, None, "no route")}
+    waits, codes = [], iter([503, 500, 200])
+    out = fetch.attempt_all("u", lambda u: (next(codes), b"x"), 3, fetch.doubling, "missing", False, waits.append)
+    assert out["status"] == "ok" and waits == [1.0, 2.0]
+
+
+def test_saved_index(spark, tmp_path):
+    v, df = index(spark, 12)
+    vectors.save(df, "e", str(tmp_path / "i"))
+    back = spark.read.parquet(str(tmp_path / "i"))
+    assert vectors.require_embedder(back, "e").count() == 12
+    assert all(np.allclose(r.embedding, v[r.id].astype(np.float16)) for r in back.collect())
+
+
 def test_readers(spark, tmp_path):
     record = {"lang": "en", "localId": "1", "serie": {"id": "s"}, "set": {"id": "a"}, "card": {"name": {"en": "One"}, "variants": {"holo": True}}}
     (tmp_path / "r.ndjson").write_text(json.dumps(record) + "\n\n" + json.dumps(record | {"lang": "fr"}) + "\n")
