@@ -6,7 +6,9 @@ null binder_id. Everything is derived from them; no result is stored.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,35 +82,45 @@ _OFFERS = "pair string, card_id string, ordinal long, variant string, condition
 _RANK = {c: i for i, c in enumerate(T.CONDITIONS)}
 
 
-def _allot(key, offered: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
-    wants = wants.assign(late=wants["priority"].fillna("want") != "need").sort_values(["late", "ordinal"], kind="stable")
-    left = wants["quantity"].tolist()
-    asked = list(wants[["variant", "min_condition", "priority"]].astype(object).where(wants[["variant", "min_condition", "priority"]].notna(), None).itertuples(index=False))
-    rows = []
-    for item in offered.sort_values("ordinal", kind="stable").itertuples(index=False):
-        near = None
+def _allot(offered: list[dict], wants: list[dict]) -> Iterator[tuple]:
+    asked = sorted(wants, key=lambda w: ((w["priority"] or "want") != "need", w["ordinal"]))
+    left = [w["quantity"] for w in asked]
+    for item in sorted(offered, key=lambda o: o["ordinal"]):
+        own, near = (item["ordinal"], item["variant"], item["condition"]), None
         for i, w in enumerate(asked):
             if left[i] <= 0:
                 continue
-            good = w.min_condition is None or (item.condition in _RANK and w.min_condition in _RANK and _RANK[item.condition] >= _RANK[w.min_condition])
-            if good and w.variant in (None, item.variant):
+            least = w["min_condition"]
+            good = least is None or (item["condition"] in _RANK and least in _RANK and _RANK[item["condition"]] >= _RANK[least])
+            if good and w["variant"] in (None, item["variant"]):
                 left[i] -= 1
-                rows.append((*key, item.ordinal, item.variant, item.condition, "offer", w.priority or "want", None, None))
+                yield (*own, "offer", w["priority"] or "want", None, None)
                 break
             near = near or w
         else:
             if near is not None:
-                rows.append((*key, item.ordinal, item.variant, item.condition, "near_miss", None, near.variant, near.min_condition))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in _OFFERS.split(", ")])
+                yield (*own, "near_miss", None, near["variant"], near["min_condition"])
 
 
 def offers(offered: DataFrame, wants: DataFrame) -> DataFrame:
     """Copy by copy, the first wish with room that fits; else one near miss, the first unfit wish with room.
 
     offered(pair, card_id, ordinal, variant, condition); wants(pair, card_id, ordinal, variant, min_condition, priority,
-    quantity). Needs come before wants. The state is of one card of a pair, and so is a group.
+    quantity). Needs come before wants. The state is of one card between two collectors; each such group is a row, so
+    that a batch takes thousands of them, and cards that only one side has are never grouped.
     """
-    return offered.groupBy("pair", "card_id").cogroup(wants.groupBy("pair", "card_id")).applyInPandas(_allot, _OFFERS)
+    key = ["pair", "card_id"]
+    met = offered.join(wants.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.collect_list(F.struct("ordinal", "variant", "condition")).alias("offered"))
+    asked = wants.groupBy(*key).agg(F.collect_list(F.struct("ordinal", "variant", "min_condition", "priority", "quantity")).alias("wants"))
+    names = [f.split()[0] for f in _OFFERS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, c, *out) for p, c, o, w in zip(*(col.to_pylist() for col in batch.columns)) for out in _allot(o, w)]
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
+
+    return met.join(asked, key).select(*key, "offered", "wants").mapInArrow(run, _OFFERS)
 
 
 def ranked_offers(found: DataFrame, prices: DataFrame) -> DataFrame:
@@ -127,25 +139,30 @@ def fair_trade(sides: DataFrame, tolerance: float = 0.10) -> DataFrame:
     gap, wants before needs; it never gives up its last item. A pair with an empty side is left as it is.
     """
 
-    def balance(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "ordinal"], kind="stable").reset_index(drop=True)
-        value, live = rows["value"].fillna(0.0).to_numpy(), [True] * len(rows)
-        side = rows["side"].tolist()
-        if {"get", "give"} <= set(side):
-            while True:
-                own = {s: [i for i, x in enumerate(side) if x == s and live[i]] for s in ("get", "give")}
-                get, give = (float(sum(value[i] for i in own[s])) for s in ("get", "give"))
-                gap, top = abs(get - give), max(get, give)
-                heavy = own["get" if get > give else "give"]
-                if top == 0 or gap <= tolerance * top or len(heavy) == 1:
-                    break
-                options = [(rows["priority"][i] == "need", abs(gap - value[i]), rows["card_id"][i], i) for i in heavy if value[i] and abs(gap - value[i]) < gap]
-                if not options:
-                    break
-                live[min(options)[3]] = False
-        return rows[live]
-
-    return sides.groupBy("pair").applyInPandas(balance, sides.schema)
+    def balance(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: (r["side"], r["ordinal"]))
+        while True:
+            own = {s: [r for r in rows if r["side"] == s] for s in ("get", "give")}
+            get, give = (sum(r["value"] or 0.0 for r in own[s]) for s in ("get", "give"))
+            gap, top = abs(get - give), max(get, give)
+            heavy = own["get" if get > give else "give"]
+            if not own["get"] or not own["give"] or top == 0 or gap <= tolerance * top or len(heavy) == 1:
+                return rows
+            options = [(r["priority"] == "need", abs(gap - r["value"]), r["card_id"], i) for i, r in enumerate(heavy) if r["value"] and abs(gap - r["value"]) < gap]
+            if not options:
+                return rows
+            gone = heavy[min(options)[3]]
+            rows = [r for r in rows if r is not gone]
+
+    item = sides.schema.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [balance(rows) for rows in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, batch.schema.field(0).type)], names=["rows"])
+
+    each = sides.groupBy("pair").agg(F.collect_list(F.struct(*sides.columns)).alias("rows")).select("rows")
+    return each.mapInArrow(run, f"rows array<{item}>").select(F.explode("rows").alias("r")).select("r.*")
 
 
 def apply_trade(items: DataFrame, gave: DataFrame, got: DataFrame) -> DataFrame:
