@@ -1,9 +1,10 @@
 """Personal data: patterns with checks, and information-theoretic sanitisation of the terms that give them away.
 
-The protected entities are the values that the patterns find. A term that stands near an entity in several different
-contexts discloses it as far as PMI(term; entity) comes up to the entity's own information content: at 1, to read the
-term is to know the entity. PMI is estimated over the whole corpus. Terms over the threshold become spans of their own
-and are generalised in the sanitised text.
+The protected entities are the values that the patterns find. A term that stands near an entity discloses it as far as
+PMI(term; entity) comes up to the entity's own information content: at 1, to read the term is to know the entity. All
+counts are of different texts of the whole corpus, so copies weigh nothing, and P(entity | term) is smoothed towards
+P(entity), so few texts prove little. Terms over the threshold become spans of their own and are generalised in
+the sanitised text.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from .common import Saved, per_batch
 
 #: Kinds in the order of spans that start together; the method's own kind comes last.
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity, different contexts that must show a term with it, and the share of the entity's
-#: information that a term may not reach.
+#: Words on each side of an entity, texts with a term that weigh as much as what is known without it, and the share of
+#: the entity's information that a term may not reach.
 WINDOW, SUPPORT, DISCLOSURE = 5, 3, 0.75
-#: Disclosing terms that may be broadcast (about 50 bytes each); more are joined.
+#: Disclosing terms that may be broadcast (about 50 bytes each); more are joined. Likewise hashes of repeated texts.
 MOST_BROADCAST = 100_000
 _BITS = 1 << 20
 
@@ -105,28 +106,31 @@ def free_words(text: str, spans: list[Span]) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), m[0]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
+
+
 def _contexts(docs: DataFrame) -> DataFrame:
-    """entity, term, context for the terms near each mention; the term is null once for each mention."""
+    """entity, term, text_id for the terms near each mention; the term is null once for each mention."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             rows: list[tuple[str, str | None, int]] = []
-            for text in batch.column(0).to_pylist():
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text or "")
                 for span in spans:
                     left = text[max(0, span[0] - 40 * WINDOW) : span[0]]
                     right = text[span[2] : span[2] + 40 * WINDOW]
                     before = [w for m in _WORD.finditer(left) if (w := normal(m[0]))][-WINDOW:]
                     after = [w for m in _WORD.finditer(right) if (w := normal(m[0]))][:WINDOW]
-                    context = xxhash.xxh64_intdigest(" ".join([*before, "|", *after])) >> 1
                     e = entity(text, span)
-                    rows += [(e, t, context) for t in {None, *before, *after}]
-            es, ts, cs = zip(*rows) if rows else ((), (), ())
-            return {"entity": pa.array(es, pa.string()), "term": pa.array(ts, pa.string()), "context": pa.array(cs, pa.int64())}
+                    rows += [(e, t, own) for t in {None, *before, *after}]
+            es, ts, ids = zip(*rows) if rows else ((), (), ())
+            return {"entity": pa.array(es, pa.string()), "term": pa.array(ts, pa.string()), "text_id": pa.array(ids, pa.int64())}
 
         return step
 
-    return per_batch(docs.select(F.col("text").cast("string").alias("text")), "entity string, term string, context long", make)
+    return per_batch(_texts(docs).select("text", "text_id"), "entity string, term string, text_id long", make)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -145,11 +149,11 @@ def _slot(term: str) -> int:
 
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """term, disclosure of the terms that give some entity away, from all documents."""
+    """term, disclosure of the terms that give some entity away, from all documents; equal texts count as one."""
     seen = Saved(_contexts(docs).distinct(), "contexts").df
     pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
     mentions = pairs.filter("term is null").select(F.col("entity").alias("own"), F.col("c").alias("n_entity"))
-    near = pairs.filter(F.col("term").isNotNull() & (F.col("c") >= support))
+    near = pairs.filter(F.col("term").isNotNull())
     near = Saved(near.join(mentions, F.col("entity") == F.col("own")).select("entity", "term", "c", "n_entity"), "pairs").df
     terms = near.select("term").distinct()
     if terms.isEmpty():
@@ -169,25 +173,33 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCL
 
         def step(batch: pa.RecordBatch) -> dict:
             met: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(_WORD.findall(text or ""))
                 for t in {asked[w] if w in asked else look(w) for w in words} - {""}:
-                    met[t] = met.get(t, 0) + 1
+                    met[t] = met.get(t, 0) + weight
             return {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
 
         return step
 
-    counts = per_batch(docs.select(F.col("text").cast("string").alias("text")), "term string, n long", make).groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = F.lit(float(docs.count()))
-    content = F.log2(total / F.col("n_entity"))
-    pmi = F.log2(F.col("c") * total / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(content > 0, pmi / content).otherwise(0.0)
+    # Every row counts 1; each text that is repeated then takes back what its copies have counted.
+    texts = _texts(docs)
+    ids = Saved(texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")), "text_ids").df
+    copies = Saved(ids.filter("n > 1").select("text_id", (1 - F.col("n")).alias("weight")), "copies").df
+    again = texts.join(F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies, "text_id")
+    again = again.groupBy("text_id", "weight").agg(F.first("text").alias("text")).select("text", "weight")
+    weighed = per_batch(texts.select("text", F.lit(1).cast("long").alias("weight")), "term string, n long", make).unionAll(per_batch(again, "term string, n long", make))
+    counts = weighed.groupBy("term").agg(F.sum("n").alias("n_term"))
+    prior = F.col("n_entity") / F.lit(float(ids.count()))
+    # A term that only touches its entity is in no text as a word, so c may exceed n_term.
+    given = (F.col("c") + support * prior) / (F.greatest("c", "n_term") + support)
+    share = F.when(prior < 1, F.log2(given / prior) / -F.log2(prior)).otherwise(0.0)
     return near.join(counts, "term").withColumn("share", share).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("disclosure"))
 
 
-def _spans(text: str, terms) -> list[Span]:
+def _spans(text: str, terms, asked: dict[str, bool]) -> list[Span]:
+    """asked keeps which words are among the terms."""
     spans = base_spans(text)
-    if terms:
+    if terms and any([asked[w] if w in asked else asked.setdefault(w, normal(w) in terms) for w in set(_WORD.findall(text))]):
         spans = sorted([*spans, *((a, 4, b) for a, b, w in free_words(text, spans) if normal(w) in terms)])
     return spans
 
@@ -240,12 +252,16 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOS
         listed = listed.withColumn("_key", key).join(met, "_key", "left").drop("_key")
 
     def make():
+        asked: dict[str, bool] = {}
+
         def step(batch: pa.RecordBatch) -> dict:
             names = batch.schema.names
             own_terms = batch.column(names.index("_terms")).to_pylist() if not few else None
             counts, digests, lists, texts = [], [], [], []
             for i, text in enumerate(batch.column(names.index("text")).to_pylist()):
-                spans = _spans(text or "", shared.value if few else frozenset(own_terms[i] or ()))
+                if not few or len(asked) > 300_000:
+                    asked.clear()
+                spans = _spans(text or "", shared.value if few else frozenset(own_terms[i] or ()), asked)
                 base = [s for s in spans if s[1] < 4]
                 counts.append([sum(s[1] == k for s in spans) for k in range(5)])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -60,3 +60,20 @@ def test_joined_terms_agree(spark, monkeypatch):
 
 def test_empty(spark):
     assert pii.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_do_not_suppress_a_term(spark):
+    fill = lambda i: " ".join(f"w{(i * 7 + k) % 97}x{i % 13}" for k in range(20))
+    rows = [f"{fill(i)} Zorblax zor@blax.org {fill(i + 50)}" for i in range(5)] + [fill(1000 + i) for i in range(300)]
+    near = f"{fill(7)} Zorblax zor@blax.org {fill(8)}"
+    far = f"{fill(9)} Zorblax"
+    df = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = {r.term: r.disclosure for r in pii.disclosing(df([*rows, near, far])).collect()}
+    copied = {r.term: r.disclosure for r in pii.disclosing(df([*rows, *[near] * 40, *[far] * 200])).collect()}
+    assert "zorblax" in plain and copied == plain
+
+
+def test_two_texts_disclose_in_a_large_corpus(spark):
+    rows = [f"n{i} Zorblax zor@blax.org m{i}" for i in range(2)] + [f"t{i} of a t{i + 1}" for i in range(3000)]
+    found = {r.term for r in pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
+    assert "zorblax" in found and not found & {"of", "a"}
