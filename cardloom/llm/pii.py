@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,20 @@ def free_words(text: str, spans: list[Span]) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), m[0]
 
 
+def beside(text: str, spans: list[Span]) -> Iterator[tuple[list[str], list[str]]]:
+    """The WINDOW terms before and after each span, however far; what no span covers is cut into words once."""
+    starts, terms, at = [], [], 0
+    for a, _, b in [*spans, (len(text), 0, len(text))]:
+        for m in _WORD.finditer(text, at, max(at, a)):
+            if w := normal(m[0]):
+                starts.append(m.start())
+                terms.append(w)
+        at = max(at, b)
+    for a, _, b in spans:
+        i, k = bisect_left(starts, a), bisect_left(starts, b)
+        yield terms[max(0, i - WINDOW) : i], terms[k : k + WINDOW]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
 
@@ -118,11 +133,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
             rows: list[tuple[str, str | None, int]] = []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text or "")
-                for span in spans:
-                    left = text[max(0, span[0] - 40 * WINDOW) : span[0]]
-                    right = text[span[2] : span[2] + 40 * WINDOW]
-                    before = [w for m in _WORD.finditer(left) if (w := normal(m[0]))][-WINDOW:]
-                    after = [w for m in _WORD.finditer(right) if (w := normal(m[0]))][:WINDOW]
+                for span, (before, after) in zip(spans, beside(text or "", spans)):
                     e = entity(text, span)
                     rows += [(e, t, own) for t in {None, *before, *after}]
             es, ts, ids = zip(*rows) if rows else ((), (), ())

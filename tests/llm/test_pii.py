@@ -77,3 +77,20 @@ def test_two_texts_disclose_in_a_large_corpus(spark):
     rows = [f"n{i} Zorblax zor@blax.org m{i}" for i in range(2)] + [f"t{i} of a t{i + 1}" for i in range(3000)]
     found = {r.term for r in pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
     assert "zorblax" in found and not found & {"of", "a"}
+
+
+def test_terms_beside_an_entity_however_far():
+    rng = random.Random(2)
+    for gap in (" ", " " * 300, " " + "7 " * 500, f" {'z' * 400} "):
+        for _ in range(50):
+            left, right = ([rng.choice(["ab", "12", "(cd)", "--", "é"]) for _ in range(rng.randrange(12))] for _ in range(2))
+            text = gap.join([*left, "x@y.org", *right])
+            at = text.index("x@y.org")
+            terms = lambda t: [w for w in map(pii.normal, t.split()) if w]
+            assert list(pii.beside(text, [(at, 0, at + 7)])) == [(terms(text[:at])[-5:], terms(text[at + 7 :])[:5])]
+
+
+def test_terms_far_from_an_entity_are_counted(spark):
+    rows = [f"Zorblax {'7 ' * 300}zor@blax.org" for i in range(6)] + [f"t{i} of t{i + 1}" for i in range(100)]
+    rows = [f"{t} end{i}" for i, t in enumerate(rows)]
+    assert "zorblax" in {r.term for r in pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
