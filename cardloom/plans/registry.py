@@ -123,8 +123,8 @@ def q_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_fair_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' largest orders against those of their neighbours by key, valued at the order's price."""
-    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).filter("nth <= 6")
+    """All orders of customers against all of their neighbours by key, dearest first, valued at the order's price."""
+    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
     sides = o.select(
         F.floor(F.col("o_custkey") / 2).cast("string").alias("pair"), F.when(F.col("o_custkey") % 2 == 0, "get").otherwise("give").alias("side"), F.col("o_orderkey").cast("string").alias("card_id"),
         F.col("nth").cast("long").alias("ordinal"), F.when(F.col("o_orderstatus") == "F", "need").otherwise("want").alias("priority"), F.col("o_totalprice").alias("value"),
