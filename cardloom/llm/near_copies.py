@@ -53,17 +53,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """docs' columns doc_id and text, and the node of each row's shingle set with its bands."""
+    """docs' columns doc_id, row_id and text, and the node of each row's shingle set with its bands."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t) for t in texts_of(batch.column(1))]
+            sets = [shingles(t) for t in texts_of(batch.column(2))]
             nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-            return {"doc_id": batch.column(0), "text": batch.column(1), "node": nodes, "bands": pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
+            return {"doc_id": batch.column(0), "row_id": batch.column(1), "text": batch.column(2), "node": nodes, "bands": pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, text string, node long, bands array<long>", make)
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_id", F.col("text").cast("string").alias("text")), "doc_id long, row_id long, text string, node long, bands array<long>", make)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -91,12 +91,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, root for every row of docs(doc_id, text, ...): rows of one root are linked by near copies.
+    """doc_id, row_id, root for every row of docs(doc_id, text, ...): rows of one root are linked by near copies.
 
-    Null texts and those without words are one node. An empty table gives no rows.
+    row_id is docs' own, or else a hash of the text; it tells apart rows that share a doc_id. Null texts and those without words are one node. An empty table gives no rows.
     """
-    marked = Saved(_marked(docs), "marked")
-    rows = Saved(marked.df.select("doc_id", "node"), "rows").df
+    marked = Saved(_marked(docs if "row_id" in docs.columns else docs.withColumn("row_id", F.xxhash64("text"))), "marked")
+    rows = Saved(marked.df.select("doc_id", "row_id", "node"), "rows").df
     nodes = Saved(marked.df.groupBy("node").agg(F.first("bands").alias("bands")), "nodes").df
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = Saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared").df
@@ -126,4 +126,4 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         split = Saved(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "split").df
         live = Saved(named.join(split, "key"), "buckets").df
     own = roots.withColumnRenamed("node", "child")
-    return rows.join(own, F.col("node") == F.col("child"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return rows.join(own, F.col("node") == F.col("child"), "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("root"))
