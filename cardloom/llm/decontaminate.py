@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks: 1 is compared, 0 ignored. Items of fewer words than the shortest mask match nothing.
+#: Fixed masks: 1 is compared, 0 ignored. They leave no allowed substitution uncovered in runs of 11 to 13 words.
 MASKS = ("11111", "110101001", "1010010011", "11001000101")
+#: Items of fewer words have seeds of their own: with k substitutions allowed, one of k + 1 parts of the run is intact.
+SHORT = 11
 #: An overlap is a run of so many aligned words (the whole item if it is shorter) of which this share agrees.
 OVERLAP, SHARE = 13, 0.8
 #: Seeds that may be broadcast; more go through a shuffle. A seed with its item's words counts as 1 KB at most here.
@@ -26,15 +28,31 @@ def words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
-def _seeded(df: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """df's columns, and a row for each position of w and each mask that fits there: pos and hash."""
+def _seeded(df: DataFrame, masks: Sequence[str], parts: Sequence[int] = ()) -> DataFrame:
+    """df's columns, and a row for each position of w and each mask or part's length that fits there: pos and hash."""
 
     def seed(k: int, mask: str) -> Column:
         picked = [F.get("w", F.col("pos") + i) for i, c in enumerate(mask) if c == "1"]
         return F.when(F.size("w") >= F.col("pos") + len(mask), F.xxhash64(F.lit(k), *picked))
 
     at = df.select("*", F.posexplode("w").alias("pos", "word")).drop("word")
-    return at.select("*", F.explode(F.array(*(seed(k, m) for k, m in enumerate(masks)))).alias("hash")).filter("hash is not null")
+    every = [*enumerate(masks), *((-n, "1" * n) for n in parts)]
+    return at.select("*", F.explode(F.array(*(seed(k, m) for k, m in every))).alias("hash")).filter("hash is not null")
+
+
+def parts_of(n: int, overlap: int, share: float) -> list[tuple[int, int]]:
+    """Start and length of the parts of an item of n words, for each of its runs."""
+    run = min(overlap, n)
+    spare = max((k for k in range(run) if run - k >= share * run), default=0)
+    cuts = [run * i // (spare + 1) for i in range(spare + 2)]
+    return sorted({(at + a, b - a) for at in range(n - run + 1) for a, b in zip(cuts, cuts[1:])})
+
+
+def _short_seeds(items: DataFrame, sizes: Sequence[int], overlap: int, share: float) -> DataFrame:
+    """item_id, w, pos and hash of the parts of items of so many words."""
+    part = lambda n, pos, k: F.when(F.size("w") == n, F.struct(F.lit(pos).alias("pos"), F.xxhash64(F.lit(-k), *(F.get("w", F.lit(pos + i)) for i in range(k))).alias("hash")))
+    every = [part(n, pos, k) for n in sizes for pos, k in parts_of(n, overlap, share)]
+    return items.select("item_id", "w", F.explode(F.array(*every)).alias("s")).filter("s is not null").select("item_id", "w", "s.pos", "s.hash")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, overlap: int = OVERLAP, share: float = SHARE) -> DataFrame:
@@ -45,13 +63,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     empty texts, null ids and empty tables give no rows; repeated rows of a document or item are one.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words().alias("w")).filter("item_id is not null").distinct()
-    seeds = _seeded(items, masks).select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("w").alias("iw"))
+    sizes = sorted(r.n for r in items.select(F.size("w").alias("n")).filter(F.col("n").between(1, SHORT - 1)).distinct().collect())
+    parts = sorted({k for n in sizes for _, k in parts_of(n, overlap, share)})
+    seeds = _seeded(items, masks).select("item_id", "w", "pos", "hash")
+    if sizes:
+        seeds = seeds.unionByName(_short_seeds(items, sizes, overlap, share))
+    seeds = seeds.select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("w").alias("iw"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("w")).filter("doc_id is not null")
     shift = F.col("pos") - F.col("item_pos")
     if seeds.count() <= MOST_BROADCAST:
-        hits = _seeded(texts, masks).join(F.broadcast(seeds), "hash").withColumn("shift", shift)
+        hits = _seeded(texts, masks, parts).join(F.broadcast(seeds), "hash").withColumn("shift", shift)
     else:  # only numbers are shuffled by hash; the words come back for what was hit
-        met = _seeded(texts, masks).select("doc_id", "pos", "hash").join(seeds.select("hash", "item_id", "item_pos"), "hash")
+        met = _seeded(texts, masks, parts).select("doc_id", "pos", "hash").join(seeds.select("hash", "item_id", "item_pos"), "hash")
         met = met.select("doc_id", "item_id", shift.alias("shift")).distinct()
         hits = met.join(items.withColumnRenamed("w", "iw"), "item_id").join(texts, "doc_id")
     start, end = F.greatest("shift", F.lit(0)), F.least(F.size("w"), F.col("shift") + F.size("iw"))
@@ -67,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
 
 
 def oracle_sql(masks: Sequence[str] = MASKS, overlap: int = OVERLAP, share: float = SHARE) -> str:
-    """The same pairs in DuckDB SQL; seeds are compared as words."""
+    """The same pairs in DuckDB SQL for items of SHORT words or more; seeds are compared as words."""
     seed = lambda k, m: f"CASE WHEN len(w) >= pos + {len(m) - 1} THEN '{k} ' || " + " || ' ' || ".join(f"w[pos + {i}]" for i, c in enumerate(m) if c == "1") + " END"
     seeds = ", ".join(seed(k, m) for k, m in enumerate(masks))
     return f"""

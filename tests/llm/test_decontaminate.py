@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -64,3 +66,19 @@ def test_edges(spark):
     items = spark.createDataFrame([(9, text), (9, text), (8, None), (7, "short one"), (None, text)], ITEM).selectExpr("item_id", "text", "5 as doc_id")
     assert sorted(map(tuple, D.contaminated(docs, items).collect())) == [(1, 9, 7, 7), (4, 9, 7, 7)]
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_every_allowed_substitution_is_found(spark, monkeypatch):
+    items = [(n, [f"{chr(97 + n)}{i}" for i in range(n)]) for n in range(1, 14)]
+    docs, want = [], set()
+    for n, item in items:
+        for k in range(n - math.ceil(0.8 * n) + 1):
+            for places in itertools.combinations(range(n), k):
+                docs.append((len(docs), " ".join(["q", *("zz" if i in places else w for i, w in enumerate(item)), "r"])))
+                want.add((len(docs) - 1, n, n - k, n))
+        docs += [(-n, " ".join(["zz"] * (n - math.ceil(0.8 * n) + 1) + item[n - math.ceil(0.8 * n) + 1 :]))]
+    a = spark.createDataFrame(docs, DOC)
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items], ITEM)
+    assert set(map(tuple, D.contaminated(a, b).collect())) == want
+    monkeypatch.setattr(D, "MOST_BROADCAST", -1)
+    assert set(map(tuple, D.contaminated(a, b).collect())) == want
