@@ -8,12 +8,14 @@ nodes are already together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Saved, per_batch, texts_of, words_of
@@ -24,7 +26,9 @@ SEED, WORDS, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 30, 5
 #: Rounds in which a bucket's nodes are laid beside one of them.
 STARS = 2
-_CHUNK = 1 << 12
+#: Rows in an Arrow batch: pairs carry two texts.
+BATCH = 1000
+_CHUNK = 1 << 11
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -90,11 +94,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return per_batch(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v"), "u long, v long", make)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_id, root for every row of docs(doc_id, text, ...): rows of one root are linked by near copies.
 
-    row_id is docs' own, or else a hash of the text; it tells apart rows that share a doc_id. Null texts and those without words are one node. An empty table gives no rows.
+    All but a last join is run at once, in small batches; row_id is docs' own, or else a hash of the text; it tells apart rows that share a doc_id. Null texts and those without words are one node. An empty table gives no rows.
     """
+    with _small_batches(docs.sparkSession):
+        return _near_copies(docs, similarity)
+
+
+def _near_copies(docs: DataFrame, similarity: float) -> DataFrame:
     marked = Saved(_marked(docs if "row_id" in docs.columns else docs.withColumn("row_id", F.xxhash64("text"))), "marked")
     rows = Saved(marked.df.select("doc_id", "row_id", "node"), "rows").df
     nodes = Saved(marked.df.groupBy("node").agg(F.first("bands").alias("bands")), "nodes").df
