@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
 import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in an Arrow batch: a worker holds a few batches, whose rows may be of any length.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: While a step is written: its shuffle files go when it has been.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once a context."""
+    """Give the executors' Python this package, once a context, and bound Arrow batches unless the session does so itself."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(8 << 20))
     if sc in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -36,29 +41,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """This application's folder where all executors can read: below spark.checkpoint.dir.
+
+    Where that is unset, a master on this machine gets a folder of its own in /tmp; any other master is refused, as its
+    executors would write to disks that the others can't see. The session's settings are left alone.
+    """
+    sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints/cardloom"
-        os.makedirs(at, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "/tmp/cardloom"
+    return f"{at.rstrip('/')}/cardloom-{sc.applicationId}"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for what is run within."""
+    were = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in were.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Saved:
-    """A frame written as Parquet to the shared folder: cuts lineage, survives executors, can be dropped."""
+    """A frame written as Parquet to the shared folder: cuts lineage, survives executors, can be dropped.
+
+    Its shuffle files go when it has been written. What nobody drops goes with release(), or when the driver's JVM ends.
+    """
+
+    alive: set[Saved] = set()
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with settings(self.spark, _WRITING):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Saved.alive.add(self)
+        self._fs().deleteOnExit(self._at())
+
+    def _at(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _fs(self):
+        return self._at().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def drop(self) -> None:
         """Delete the files; call it only when nothing lazy reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        Saved.alive.discard(self)
+        fs = self._fs()
+        fs.delete(self._at(), True)
+        fs.cancelDeleteOnExit(self._at())
+
+
+@contextmanager
+def scratch(*keep: Saved) -> Iterator[list[Saved]]:
+    """Drops what was saved within, but for what is in the list that it gives."""
+    before, kept = set(Saved.alive), list(keep)
+    try:
+        yield kept
+    finally:
+        for s in Saved.alive - before - set(kept):
+            s.drop()
+
+
+def release() -> None:
+    """Drop all that is left: call it when the results of this package's operators have been used."""
+    for s in list(Saved.alive):
+        s.drop()
+
+
+def per_partition(df: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+    """mapInArrow of a generator that gives columns, a dict of name to list or array, in the order of schema."""
+    ship(df.sparkSession)
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in run(batches):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+
+    return df.mapInArrow(arrow, schema)
 
 
 def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterable[dict]]]) -> DataFrame:
@@ -67,17 +133,22 @@ def per_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     The columns, a dict of name to list or array, come in the order of schema. A generator gives several batches,
     so that a batch's output need not be in memory at once.
     """
-    ship(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         step = make()
         for batch in batches:
             if batch.num_rows:
                 out = step(batch)
-                for cols in [out] if isinstance(out, dict) else out:
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+                yield from [out] if isinstance(out, dict) else out
+
+    return per_partition(df, schema, run)
+
 
-    return df.mapInArrow(run, schema)
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores as keep it apart from columns that are there."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:
@@ -93,5 +164,4 @@ def words_of(text: bytes) -> list[bytes]:
 
 def free(spark: SparkSession) -> None:
     """Let the shuffle files of finished frames go now, not when the driver next happens to collect its garbage."""
-    gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -41,8 +41,8 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, block in ((1, 8192), (2, 5)):
-        monkeypatch.setattr(S, "BLOCK", block)
+    for seed, block in ((1, 1 << 20), (2, 900)):
+        monkeypatch.setattr(S, "SHARD", block)
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("text", "doc_id", "1 as block", "2 as uid")
         got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in S.deduplicated(df, seed == 1).collect())
