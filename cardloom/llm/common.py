@@ -160,8 +160,3 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
 def words_of(text: bytes) -> list[bytes]:
     """Words are runs of bytes other than space and 09 to 0D, which is how bytes.split() cuts."""
     return text.split()
-
-
-def free(spark: SparkSession) -> None:
-    """Let the shuffle files of finished frames go now, not when the driver next happens to collect its garbage."""
-    spark.sparkContext._jvm.System.gc()
