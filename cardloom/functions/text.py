@@ -16,6 +16,7 @@ PRICE_FIELDS = {"tcgplayer": ("marketPrice", "midPrice", "directLowPrice", "lowP
 #: Languages that stand in for one another.
 FALLBACK = {"en": ("en",), "ja": ("ja", "en")}
 
+#: The forms of collector numbers, as stored, as loosely written, and as read from a print.
 _NUMBER = r"^([A-Za-z-]*?)(\d+)([A-Za-z]*)$"
 _LOOSE_NUMBER = r"^([A-Za-z]*?)0*(\d+)([A-Za-z]*)$"
 _OCR = r"([A-Z]{0,4})\s*(\d{1,3})\s*/\s*([A-Z]{0,4})\s*(\d{2,3})"
@@ -60,8 +61,44 @@ def normal_name(names: pd.Series) -> pd.Series:
 
 
 def rarity_tier(rarity: Column) -> Column:
-    low = F.lower(F.trim(rarity))
-    return F.when(low.isNull() | (low == "") | (low == "promo"), None).when(low.isin("common", "uncommon"), low).otherwise("rare")
+    """common, uncommon or rare; null for none, an empty text and promos. A text of blanks is rare."""
+    low = F.lower(F.btrim(rarity, F.lit(" \t\n\r\x0b\x0c")))
+    return F.when(rarity.isNull() | (rarity == "") | (low == "promo"), None).when(low.isin("common", "uncommon"), low).otherwise("rare")
+
+
+def number_order(number: Column) -> Column:
+    """For sorting numbers as they are read: prefix, number, rest; other forms by their text."""
+    form = r"^([A-Z]*)(\d+)(.*)$"
+    fits = number.rlike(form)
+    part = lambda k: F.regexp_extract(number, form, k)
+    return F.struct(F.when(fits, part(1)).otherwise(number).alias("prefix"), F.when(fits, part(2).try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("n"), F.when(fits, part(3)).otherwise("").alias("rest"))
+
+
+def quoted(text: Column) -> Column:
+    """The text in quotes, double ones if it has single ones only, with backslashes and line ends escaped; null is None."""
+    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
+    plain = text
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(raw), F.lit(shown))
+    return F.when(text.isNull(), "None").when(single & ~double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def language_of(card_id: Column) -> Column:
+    """An id's text before its first slash."""
+    return F.substring_index(card_id, "/", 1)
+
+
+def set_of(card_id: Column) -> Column:
+    """An id's text before its last slash; empty without one."""
+    return F.regexp_extract(card_id, r"(?s)^(.*)/[^/]*$", 1)
+
+
+def image_url(base: Column, quality: str, ending: str) -> Column:
+    return F.concat(base, F.lit(f"/{quality}.{ending}"))
+
+
+def price_url(api: str, lang: Column, source_set_id: Column, local_id: Column) -> Column:
+    return F.concat(F.lit(f"{api}/"), lang, F.lit("/cards/"), source_set_id, F.lit("-"), local_id)
 
 
 def variant_key(kind: Column, subtype: Column, stamps: Column, foil: Column, size: Column) -> Column:
@@ -118,10 +155,19 @@ def condition_ok(condition: Column, minimum: Column) -> Column:
     return minimum.isNull() | ((condition_rank(condition) > 0) & (condition_rank(minimum) > 0) & (condition_rank(condition) >= condition_rank(minimum)))
 
 
-def first_price(block: Column, vendor: str) -> Column:
-    """The first numeric field of a JSON object in the vendor's order; numbers in quotes don't count."""
-    number = lambda f: F.regexp_extract(block, rf'"{f}"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,}}]', 1)
-    return F.coalesce(*(F.nullif(number(f), F.lit("")).try_cast("double") for f in PRICE_FIELDS[vendor]))
+def first_price(block: Column, vendor: str, suffix: str = "") -> Column:
+    """The first numeric field of a JSON object in the vendor's order, of the fields' names with the suffix.
+
+    Only its own fields count, and no numbers in quotes: values are read as variants, whose type tells them apart.
+    """
+    each = F.try_parse_json(block)
+
+    def number(field: str) -> Column:
+        path = f"$['{field}{suffix}']"
+        kind = F.schema_of_variant(F.try_variant_get(each, path, "variant"))
+        return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(each, path, "double"))
+
+    return F.coalesce(*map(number, PRICE_FIELDS[vendor]))
 
 
 def fnv1a(text: Column) -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Plan limits; null is unlimited.
-PLANS = (("free", 200, 0), ("premium", None, None))
+#: What each plan allows; a limit that is null is none.
+PLAN_FIELDS = "plan string, cards int, binders int, values boolean, set_gap_detail boolean, trading boolean, backup boolean, export boolean, trade_history int, catalog_updates boolean"
+PLANS = (("free", 200, None, False, False, False, False, False, 0, False), ("premium", None, None, True, True, True, True, True, None, True))
 
 
 def pockets(collections: DataFrame) -> DataFrame:
@@ -36,16 +37,15 @@ def set_gaps(binders: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame
     their cards. Cards above the printed total are secrets. owned_elsewhere lists where other copies are.
     """
     wanted = binders.join(sets, "set_id").filter((F.col("number") <= F.col("printed_total")) | F.col("include_secrets"))
-    here = items.select("collector", "binder_id", "card_id").distinct()
-    gaps = wanted.join(here, ["collector", "binder_id", "card_id"], "left_anti").select("collector", "binder_id", "card_id", "number")
-    there = items.select("collector", "card_id", F.coalesce(F.col("binder_id").cast("string"), F.lit("loose")).alias("place")).distinct()
-    placed = there.groupBy("collector", "card_id").agg(F.array_sort(F.collect_set("place")).alias("owned_elsewhere"))
-    out = gaps.join(placed, ["collector", "card_id"], "left")
+    place = F.coalesce(F.col("binder_id").cast("string"), F.lit("loose"))
+    placed = items.groupBy("collector", "card_id").agg(F.array_sort(F.collect_set(place)).alias("owned_elsewhere"), F.collect_set("binder_id").alias("here"))
+    out = wanted.join(placed, ["collector", "card_id"], "left").filter(F.col("here").isNull() | ~F.array_contains("here", F.col("binder_id")))
     return out.select("collector", "binder_id", "card_id", "number", F.coalesce("owned_elsewhere", F.array().cast("array<string>")).alias("owned_elsewhere"))
 
 
 def open_wishes(wishes: DataFrame, items: DataFrame) -> DataFrame:
-    """Wishes with an owned count below their quantity; null variant or minimum condition accepts any copy."""
+    """Wishes with an owned count below their quantity; null variant or minimum condition accepts any copy, null quantity is 1."""
+    wishes = wishes.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
     own = items.select("collector", "card_id", F.col("variant").alias("own_variant"), F.col("condition").alias("own_condition"))
     own = own.groupBy("collector", "card_id", "own_variant", "own_condition").agg(F.count(F.lit(1)).alias("copies"))
     met = wishes.join(own, ["collector", "card_id"], "left")
@@ -73,7 +73,7 @@ def simple_offers(offered: DataFrame, wants: DataFrame) -> DataFrame:
 
     offered(pair, card_id, ordinal), wants(pair, card_id, quantity); a pair's cards don't interact, so a rank is enough.
     """
-    room = wants.groupBy("pair", "card_id").agg(F.sum("quantity").alias("room"))
+    room = wants.groupBy("pair", "card_id").agg(F.sum(F.coalesce("quantity", F.lit(1))).alias("room"))
     ranked = offered.withColumn("nth", F.row_number().over(Window.partitionBy("pair", "card_id").orderBy("ordinal")))
     return ranked.join(room, ["pair", "card_id"]).filter("nth <= room").select("pair", "card_id", "ordinal", "nth")
 
@@ -84,7 +84,7 @@ _RANK = {c: i for i, c in enumerate(T.CONDITIONS)}
 
 def _allot(offered: list[dict], wants: list[dict]) -> Iterator[tuple]:
     asked = sorted(wants, key=lambda w: ((w["priority"] or "want") != "need", w["ordinal"]))
-    left = [w["quantity"] for w in asked]
+    left = [1 if w["quantity"] is None else w["quantity"] for w in asked]
     for item in sorted(offered, key=lambda o: o["ordinal"]):
         own, near = (item["ordinal"], item["variant"], item["condition"]), None
         for i, w in enumerate(asked):
@@ -106,8 +106,9 @@ def offers(offered: DataFrame, wants: DataFrame) -> DataFrame:
     """Copy by copy, the first wish with room that fits; else one near miss, the first unfit wish with room.
 
     offered(pair, card_id, ordinal, variant, condition); wants(pair, card_id, ordinal, variant, min_condition, priority,
-    quantity). Needs come before wants. The state is of one card between two collectors; each such group is a row, so
-    that a batch takes thousands of them, and cards that only one side has are never grouped.
+    quantity, null for one). Needs come before wants. The state is of one card between two collectors; each such group is
+    a row, so that a batch takes thousands of them, and cards that only one side has are never grouped. A group is what
+    two collectors hold and wish of one card, which has to fit a row.
     """
     key = ["pair", "card_id"]
     met = offered.join(wants.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.collect_list(F.struct("ordinal", "variant", "condition")).alias("offered"))
@@ -136,7 +137,8 @@ def fair_trade(sides: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """The rows of sides(pair, side get|give, card_id, ordinal, priority, value) that a balanced trade keeps.
 
     While one side outweighs the other by more than the tolerance, it gives up the priced item that best closes the
-    gap, wants before needs; it never gives up its last item. A pair with an empty side is left as it is.
+    gap, wants before needs; it never gives up its last item. A pair with an empty side is left as it is. A pair is a row,
+    as each step depends on all that is left of it; it has to fit one.
     """
 
     def balance(rows: list[dict]) -> list[dict]:
@@ -172,23 +174,81 @@ def apply_trade(items: DataFrame, gave: DataFrame, got: DataFrame) -> DataFrame:
     taken; a given copy without one raises when the result is read.
     """
     same = ["collector", "card_id", "variant", "condition"]
-    free = (F.col("binder_type") == "trade") & ~F.col("keep")
-    order = Window.partitionBy(*same, "free").orderBy("binder_id", "page", "slot")
+    free = F.coalesce((F.col("binder_type") == "trade") & ~F.col("keep"), F.lit(False))
+    order = Window.partitionBy(*same).orderBy("binder_id", "page", "slot")
     asked = gave.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
-    ranked = items.withColumn("free", F.coalesce(free, F.lit(False))).withColumn("nth", F.row_number().over(order))
-    stock = ranked.filter("free").groupBy(*same).agg(F.count(F.lit(1)).alias("have"))
+    ranked = items.filter(free).withColumn("nth", F.row_number().over(order))  # only free pockets are sorted
+    stock = ranked.groupBy(*same).agg(F.count(F.lit(1)).alias("have"))
     checked = asked.join(stock, same, "left").withColumn("n", F.when(F.coalesce("have", F.lit(0)) >= F.col("n"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("not tradeable: "), "card_id")).cast("long"))).drop("have")
-    left = ranked.join(checked, same, "full_outer").filter(F.col("nth").isNotNull() & (~F.col("free") | F.col("n").isNull() | (F.col("nth") > F.col("n"))))
+    left = ranked.join(checked, same, "full_outer").filter(F.col("nth").isNotNull() & (F.col("n").isNull() | (F.col("nth") > F.col("n"))))
     loose = got.select("collector", F.lit(None).cast(items.schema["binder_id"].dataType).alias("binder_id"), F.lit(None).cast("string").alias("binder_type"), *same[1:], F.lit(False).alias("keep"), F.lit(0).cast(items.schema["page"].dataType).alias("page"), F.lit(0).cast(items.schema["slot"].dataType).alias("slot"))
-    return left.select(*items.columns).unionByName(loose.select(*items.columns))
+    return items.filter(~free).unionByName(left.select(*items.columns)).unionByName(loose.select(*items.columns))
+
+
+def profile(items: DataFrame, wishes: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What collectors share for a swap: tradeables(collector, card_id, ordinal, variant, condition) and wants(collector,
+    card_id, ordinal, variant, min_condition, priority, quantity), each with its place in the collector's list.
+
+    Wishes(collector, ordinal, ...) come before gaps, which are wished for once, in any form, as needs.
+    """
+    sorting = ("_source", "_place", "_binder", "_slot")
+    listed = Window.partitionBy("collector").orderBy(*sorting)
+    place = F.row_number().over(listed).cast("long").alias("ordinal")
+    order = lambda source, at, binder, slot: (F.lit(source).alias("_source"), at.cast("long").alias("_place"), binder.alias("_binder"), slot.cast("long").alias("_slot"))
+    null, zero = F.lit(None).cast("string"), F.lit(0)
+    columns = ["collector", "card_id", "variant", "min_condition", "priority", "quantity"]
+    own = open_wishes(wishes, items).select(*columns, *order(0, F.col("ordinal"), F.lit(None).cast(gaps.schema["binder_id"].dataType), zero))
+    needed = gaps.select("collector", "card_id", null.alias("variant"), null.alias("min_condition"), F.lit("need").alias("priority"), F.lit(1).alias("quantity"), *order(1, zero, F.col("binder_id"), F.col("number")))
+    wants = own.unionByName(needed).select(*columns, place)
+    free = tradeables(items, wants.filter("priority = 'need'")).select("*", *order(0, zero, F.col("binder_id"), F.col("page").cast("long") * 1_000_000 + F.col("slot")))
+    return free.select("collector", "card_id", place, "variant", "condition"), wants
+
+
+def match(pairs: DataFrame, free: DataFrame, wants: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """offers(pair, side, rank, card_id, variant, condition, priority, value) and near_misses(pair, nth, card_id, variant,
+    condition, wanted_variant, wanted_min_condition) of pairs(pair, mine, theirs) of collectors.
+
+    for_me is what they offer and I want, for_them the other way round; both are first fit, copy by copy, and then
+    ranked with values of prices(key, price). Near misses of my side come before those of theirs.
+    """
+    side = lambda name, giver, taker: F.struct(F.lit(name).alias("side"), F.col(giver).alias("giver"), F.col(taker).alias("taker"))
+    ways = pairs.select("pair", F.explode(F.array(side("for_me", "theirs", "mine"), side("for_them", "mine", "theirs"))).alias("w")).select(F.concat_ws("|", "w.side", F.col("pair").cast("string")).alias("way"), "w.giver", "w.taker")
+    text = F.col("card_id").cast("string").alias("card_id")
+    offered = free.join(ways, F.col("collector") == F.col("giver")).select(F.col("way").alias("pair"), text, "ordinal", "variant", "condition")
+    asked = wants.join(ways, F.col("collector") == F.col("taker")).select(F.col("way").alias("pair"), text, "ordinal", "variant", "min_condition", "priority", "quantity")
+    found = offers(offered, asked)
+    apart = {"side": F.substring_index("pair", "|", 1), "pair": F.regexp_replace("pair", r"^[a-z_]+\|", "")}
+    good = ranked_offers(found, prices).withColumns(apart).select("pair", "side", "rank", "card_id", "variant", "condition", "priority", "value")
+    near = found.filter("outcome = 'near_miss'").withColumns(apart)
+    nth = F.row_number().over(Window.partitionBy("pair").orderBy("side", "ordinal"))
+    return good, near.select("pair", nth.alias("nth"), "card_id", "variant", "condition", "wanted_variant", "wanted_min_condition")
+
+
+def _with_plan(rows: DataFrame, plan: str) -> DataFrame:
+    """rows with the fields of their plan as p; an unknown plan raises when the result is read."""
+    known = rows.sparkSession.createDataFrame(PLANS, PLAN_FIELDS).select(F.col("plan").alias("_plan"), F.struct("*").alias("p"))
+    unknown = F.raise_error(F.concat(F.lit("unknown plan: "), F.coalesce(F.col(plan), F.lit("null")))).cast(known.schema["p"].dataType)
+    return rows.join(F.broadcast(known), F.col(plan) == F.col("_plan"), "left").withColumn("p", F.coalesce("p", unknown)).drop("_plan")  # two rows
 
 
 def plan_gate(counts: DataFrame, plan: str = "plan", held: str = "cards_held") -> DataFrame:
     """counts with can_add and remaining, by the limits of the row's plan; a null limit is none."""
-    spark = counts.sparkSession
-    limits = F.broadcast(spark.createDataFrame(PLANS, f"{plan} string, card_limit int, history_limit int"))  # two rows
-    out = counts.join(limits, plan)
-    return out.withColumn("can_add", F.col("card_limit").isNull() | (F.col(held) < F.col("card_limit"))).withColumn("remaining", F.when(F.col("card_limit").isNotNull(), F.greatest(F.col("card_limit") - F.col(held), F.lit(0)))).drop("card_limit", "history_limit")
+    limit = F.col("p.cards")
+    out = _with_plan(counts, plan).withColumn("can_add", limit.isNull() | (F.col(held) < limit))
+    return out.withColumn("remaining", F.when(limit.isNotNull(), F.greatest(limit - F.col(held), F.lit(0)))).drop("p")
+
+
+def plan_rules(rows: DataFrame, plan: str = "plan", held: str = "cards_held", binders: str = "binders_held") -> DataFrame:
+    """rows with all that their plan allows: can_add_card, can_add_binder, can_add_pages, and shows_ and allows_ columns.
+
+    Pages can be added as long as cards can; what is over a limit stays.
+    """
+    p = lambda name: F.col(f"p.{name}")
+    below = lambda limit, n: limit.isNull() | (F.col(n) < limit)
+    card = below(p("cards"), held)
+    gates = {"can_add_card": card, "can_add_binder": below(p("binders"), binders), "can_add_pages": card, "shows_values": p("values"), "shows_gap_detail": p("set_gap_detail")}
+    gates |= {f"allows_{c}": p(c) for c in ("trading", "backup", "export", "catalog_updates")} | {"trades_shown": p("trade_history")}
+    return _with_plan(rows, plan).withColumns(gates).drop("p")
 
 
 def trade_history(records: DataFrame, shown: int | None) -> DataFrame:
@@ -197,6 +257,11 @@ def trade_history(records: DataFrame, shown: int | None) -> DataFrame:
     return ranked if shown is None else ranked.filter(F.col("rank") <= shown)
 
 
+def visible_history(records: DataFrame, plan: str = "plan") -> DataFrame:
+    """The records of trade_history that each collector's plan shows; none are deleted."""
+    return _with_plan(trade_history(records, None), plan).filter(F.col("p.trade_history").isNull() | (F.col("rank") <= F.col("p.trade_history"))).drop("p")
+
+
 def card_counts(items: DataFrame) -> DataFrame:
     """Copies a collector holds."""
     return items.groupBy("collector").agg(F.count(F.lit(1)).alias("cards_held"))

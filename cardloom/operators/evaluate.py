@@ -15,6 +15,28 @@ def _rate(hit: Column, of: Column) -> Column:
     return F.avg(F.when(of, hit.cast("double")))
 
 
+def outcomes(labels: DataFrame, results: DataFrame, ranked: DataFrame, top_k: int = 4) -> DataFrame:
+    """photo, pocket, truth, top, probability, in_top_k, status, state: labels beside results, pocket by pocket.
+
+    labels(photo, pocket, truth) have null for an empty pocket and ? for a card out of the catalog; results(photo, pocket,
+    state) are the pockets found, ranked(photo, pocket, rank, card_id, probability, status) their candidates. Pockets
+    that only one side has don't count.
+    """
+    at = ["photo", "pocket"]
+    few = ranked.filter(F.col("rank") <= top_k)
+    best = few.filter("rank = 1").select(*at, F.col("card_id").alias("top"), "probability", "status")
+    met = labels.select(*at, "truth").join(results.select(*at, "state"), at)
+    hits = met.join(few.select(*at, F.col("card_id").alias("truth")), [*at, "truth"], "left_semi").select(*at, F.lit(True).alias("hit"))
+    out = met.join(best, at, "left").join(hits, at, "left")
+    status = F.when(F.col("state") == "empty", "empty").otherwise(F.coalesce("status", F.lit("review")))
+    return out.select(*at, "truth", "top", F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("hit", F.lit(False)).alias("in_top_k"), status.alias("status"), "state")
+
+
+def confirmable(found: DataFrame) -> DataFrame:
+    """correct, probability of the outcomes that hold a card, for threshold_sweep."""
+    return found.filter("truth is not null").select(F.coalesce(F.col("top") == F.col("truth"), F.lit(False)).alias("correct"), "probability")
+
+
 def accuracy(outcomes: DataFrame) -> DataFrame:
     """One row from outcomes(truth, top, in_top_k, state): truth null is an empty pocket, ? a card not in the catalog."""
     known = F.col("truth").isNotNull() & (F.col("truth") != "?")
@@ -52,6 +74,15 @@ def subsets(trials: DataFrame, attempts: list[str], largest: int = 3) -> DataFra
     return row.select(F.explode(F.array(*(F.struct(F.lit("+".join(c)).alias("subset"), F.lit(len(c)).alias("size"), F.col(f"`{'+'.join(c)}`").alias("accuracy")) for c in names))).alias("s")).select("s.*")
 
 
+def leave_one_out(trials: DataFrame, attempts: list[str]) -> DataFrame:
+    """attempt, alone, lost: how often an attempt is right, and how much of what all together get right is lost without it."""
+    right = lambda c: F.coalesce(F.col(c), F.lit(False))
+    any_of = lambda cs: F.aggregate(F.array(*map(right, cs)), F.lit(False), lambda a, b: a | b) if cs else F.lit(False)
+    share = lambda c: F.avg(c.cast("double"))
+    row = trials.agg(*(F.struct(F.lit(a).alias("attempt"), share(right(a)).alias("alone"), (share(any_of(attempts)) - share(any_of([x for x in attempts if x != a]))).alias("lost")).alias(a) for a in attempts))
+    return row.select(F.explode(F.array(*(F.col(f"`{a}`") for a in attempts))).alias("s")).select("s.*")
+
+
 def half_width(p: Column, n: Column) -> Column:
     """Of the 95 % interval of a share."""
     return 1.96 * F.sqrt(p * (1 - p) / n)

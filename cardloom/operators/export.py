@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import text as T
 #: The columns of the CSV export.
 CSV_COLUMNS = ("card_id", "name", "set", "number", "priority", "source", "quantity", "owned_elsewhere")
 _LAST = 1 << 30
+#: Fixed value: of the catalog's tables and packs.
+SCHEMA_VERSION = 1
 
 
 def wish_rows(wishes: DataFrame, meta: DataFrame) -> DataFrame:
@@ -40,22 +44,67 @@ def wishlist_text(collectors: DataFrame, wishes: DataFrame, meta: DataFrame, set
     return collectors.select("collector").distinct().join(lines, "collector", "left").select("collector", F.when(F.col("l").isNull(), "Nothing missing.").otherwise(text).alias("text"))
 
 
-def json_packs(cards: DataFrame) -> DataFrame:
-    """set_id, n_cards, body, sha256 of cards(set_id, id, local_id, name, number, number_prefix, number_suffix, rarity).
+def _sorted(*columns: str) -> Column:
+    """A struct whose fields come in alphabetical order, as keys do in a pack."""
+    return F.struct(*sorted(columns))
+
+
+#: What a pack has of each card and variant.
+_CARD = ("id", "local_id", "number", "name", "rarity", "category", "image_base")
+_VARIANT = ("variant_key", "type", "stamps", "foil", "size", "tcgplayer_id")
+_SET = ("id", "lang", "source_set_id", "serie_id", "serie_name", "name", "name_en", "printed_total", "number_prefix", "release_date", "abbreviation", "tcgplayer_group_id", "cardmarket_id", "card_count")
+
+
+def pruned_variant() -> Column:
+    """JSON of a variant without keys whose value is null or an empty list."""
+    fields = [(F.when(F.size(c) > 0, F.col(c)) if c == "stamps" else F.col(c)).alias(c) for c in sorted(_VARIANT)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+
+
+def json_packs(sets: DataFrame, cards: DataFrame, variants: DataFrame) -> DataFrame:
+    """id, lang, source_set_id, name, release_date, card_count, path, body, sha256 for each set of a built catalog.
 
-    Keys are sorted, nulls kept, cards in printed order: prefix, number (none last), suffix, id. A set is one row.
+    A body's keys are sorted, nulls kept but in variants, cards in printed order: prefix, number (none last), suffix, id. A
+    set with all its cards is one row.
     """
+    own = variants.groupBy(F.col("card_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", pruned_variant().alias("json")))).alias("v"))
+    listed = F.concat(F.lit(',"variants":['), F.array_join(F.transform(F.coalesce("v", F.array().cast("array<struct<pos:int,json:string>>")), lambda x: x.json), ","), F.lit("]}"))
+    plain = F.to_json(_sorted(*_CARD), {"ignoreNullFields": "false"})  # variants come last in the alphabet
     place = F.struct("number_prefix", F.coalesce("number", F.lit(_LAST)).alias("n"), "number_suffix", F.col("local_id").alias("l"))
-    one = F.struct(*sorted(c for c in cards.columns if c != "set_id"))
-    packs = cards.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), one.alias("card")))), lambda x: x.card).alias("cards"))
-    body = F.to_json(F.struct("cards", F.col("set_id").alias("set")), {"ignoreNullFields": "false"})
-    return packs.select("set_id", F.size("cards").alias("n_cards"), body.alias("body")).withColumn("sha256", F.sha2("body", 256))
+    each = cards.join(own, "id", "left").select(F.col("set_id").alias("id"), F.struct(place.alias("place"), F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), listed).alias("json")).alias("c"))
+    packed = each.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.json), ",").alias("cards"))
+    body = F.concat(F.lit('{"cards":['), F.coalesce("cards", F.lit("")), F.lit('],"set":'), F.to_json(_sorted(*_SET), {"ignoreNullFields": "false"}), F.lit("}"))
+    out = sets.join(packed, "id", "left").select("id", "lang", "source_set_id", "name", "release_date", "card_count", F.concat("lang", F.lit("/"), "source_set_id", F.lit(".json")).alias("path"), body.alias("body"))
+    return out.withColumn("sha256", F.sha2("body", 256))
 
 
-def pruned_variant(columns: dict[str, str]) -> Column:
-    """JSON of a variant without keys whose value is null or an empty list; columns: JSON key to column of arrays or texts."""
-    fields = [F.when(F.size(c) > 0, F.col(c)).alias(k) if k in ("stamps", "alt_ids") else F.col(c).alias(k) for k, c in sorted(columns.items())]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+def write_packs(packs: DataFrame, out: str, meta: dict[str, str], most: int = 100_000) -> None:
+    """Packs as text below out, a folder for each language and set, and index.json, which the driver writes.
+
+    The index holds a line for each set; of more than ``most`` sets it is refused.
+    """
+    packs.select("lang", "source_set_id", "body").write.mode("overwrite").partitionBy("lang", "source_set_id").text(out)
+    rows = packs.select("id", "name", "release_date", "card_count", "path", "sha256").orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} sets are too many for one index")
+    index = {"schema_version": SCHEMA_VERSION, **meta, "sets": [r.asDict() for r in rows]}
+    sc = packs.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(out, "index.json")
+    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(json.dumps(index, ensure_ascii=False, indent=1).encode()))
+    finally:
+        stream.close()
+
+
+def write_catalog(sets: DataFrame, cards: DataFrame, variants: DataFrame, issues: DataFrame, out: str, meta: dict[str, str]) -> None:
+    """A built catalog as tables below out, in place of what was there; meta is a table of keys and values, with the schema's
+    version.
+    """
+    spark = sets.sparkSession
+    known = spark.createDataFrame([("schema_version", str(SCHEMA_VERSION)), *sorted(meta.items())], "key string, value string").coalesce(1)
+    for name, df in (("sets", sets), ("cards", cards), ("variants", variants), ("issues", issues), ("meta", known)):
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 def markdown(rows: DataFrame, limit: int = 40) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-#: Query vectors multiplied at once; more go through in blocks, each of which may be broadcast.
-BLOCK = 4096
+#: Vectors of a block, and blocks of the index that a task multiplies with one block of many.
+BLOCK, PIECES = 4096, 64
 
 
 def unit(v: Column) -> Column:
@@ -47,65 +47,116 @@ def path_of(index: DataFrame, card_id: str) -> str | None:
     return row and row[0]
 
 
+def build(images: DataFrame, embed: Column, out: str, embedder: str, langs: tuple[str, ...], quality: str) -> None:
+    """An index for each language below out, of images(card_id, quality, status, path, ...) that are ok and of a quality.
+
+    embed is the embedding of the image's row, null where it can't be read; such rows are skipped. The language is the
+    id's first part.
+    """
+    own = images.filter((F.col("status") == "ok") & (F.col("quality") == quality)).select(F.col("card_id").alias("id"), "path", half(embed).alias("embedding"), F.substring_index("card_id", "/", 1).alias("lang"))
+    own = own.filter(F.col("lang").isin(*langs) & F.col("embedding").isNotNull()).withColumn("embedder", F.lit(embedder))
+    own.repartition("lang", "id").sortWithinPartitions("lang", "id").write.mode("overwrite").partitionBy("lang").parquet(out)
+
+
 def save(index: DataFrame, embedder: str, path: str) -> None:
     """index(id, embedding) with 16-bit precision and the embedder's name, as Parquet."""
     index.select("id", half(F.col("embedding")).alias("embedding"), F.lit(embedder).alias("embedder")).write.mode("overwrite").parquet(path)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set, by id, a block at a time; the driver holds one block."""
-    ids, rows = [], []
-    for r in queries.select("id", "embedding").orderBy("id").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+Fold = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+
+
+def _packed(rows: DataFrame, tags: str) -> DataFrame:
+    """ids, tags and matrix (bytes) of up to BLOCK of rows(id, tag, embedding) each, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                matrix = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                whole = lambda c: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([whole(0), whole(1), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "tags", "matrix"])
+
+    return rows.select("id", "tag", "embedding").mapInArrow(run, f"ids array<bigint>, tags array<{tags}>, matrix binary")
+
+
+def _against(index: DataFrame, queries: DataFrame, schema: str, fold: Fold) -> DataFrame:
+    """What fold(query ids, query tags, ids, tags, scores) gives for each block of queries and block of the index, both
+    (id, tag, embedding).
+
+    Query blocks go to each share of the index's blocks, by an equi-join on the share's number. There is one share, and
+    the queries are broadcast if they are small, unless they fill more than a block; nothing passes through the driver.
+    """
+    kinds = dict(queries.dtypes)["tag"]
+    whole = lambda df: df.select(F.col("id").cast("long").alias("id"), "tag", "embedding").filter("embedding is not null")
+    asked, rows = whole(queries), whole(index)
+    n = asked.count()
+    blocks, shares = -(-n // BLOCK) or 1, -(-rows.count() // (BLOCK * PIECES)) if n > BLOCK else 1
+    q = _packed(asked.repartition(blocks), kinds).withColumnsRenamed({"ids": "q_ids", "tags": "q_tags", "matrix": "q_matrix"})
+    q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(max(shares, 1) - 1))))
+    x = _packed(rows, dict(index.dtypes)["tag"]).withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(max(shares, 1))).cast("int"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_tags, q_matrix, ids, tags, matrix in zip(*(batch.column(c) for c in ("q_ids", "q_tags", "q_matrix", "ids", "tags", "matrix"))):
+                own, other = np.array(q_ids.as_py()), np.array(ids.as_py())
+                left, right = (np.frombuffer(m.as_py(), np.float32).reshape(k, -1).astype(np.float64) for m, k in ((q_matrix, len(own)), (matrix, len(other))))
+                s = np.zeros((len(own), len(other)))
+                for d in range(right.shape[1]):  # one product at a time, so that a score doesn't depend on how rows are batched
+                    s += left[:, d, None] * right[:, d]
+                s[~np.isfinite(s)] = -np.inf
+                found = fold(own, np.array(q_tags.as_py()), other, np.array(tags.as_py()), s)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
+
+    return q.join(x, "share").select("q_ids", "q_tags", "q_matrix", "ids", "tags", "matrix").mapInArrow(run, schema)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, mask: Column | None = None) -> DataFrame:
     """query_id, id, score, rank: the k best of index(id long, embedding) for each of queries(id long, embedding).
 
-    Ties go to the smaller id. The mask keeps candidates. Each batch of the index is multiplied with a block of queries
+    Ties go to the smaller id. The mask keeps candidates. Each block of the index is multiplied with a block of queries
     and gives its own k best; only these are shuffled. Rows with null or non-finite scores don't count.
     """
+
+    def best(own, _, other, __, s):
+        if exclude_self:
+            s[own[:, None] == other] = -np.inf
+        order = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
+        top = np.take_along_axis(s, order, axis=1).ravel()
+        keep = np.isfinite(top)
+        return np.repeat(own, order.shape[1])[keep], other[order].ravel()[keep], top[keep]
+
+    none = F.lit(0).alias("tag")
     rows = index if mask is None else index.filter(mask)
-    rows = rows.select(F.col("id").cast("long").alias("id"), "embedding").filter("embedding is not null")
-    sc, parts = index.sparkSession.sparkContext, []
-    for ids, matrix in _blocks(queries):
-        shared = sc.broadcast((ids, matrix))
-
-        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                own = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                # one product at a time, so that a score doesn't depend on how rows are batched
-                s = np.zeros((len(qid), n))
-                for d in range(x.shape[1]):
-                    s += q[:, d, None] * x[:, d]
-                if exclude_self:
-                    s[qid[:, None] == own] = -np.inf
-                s[~np.isfinite(s)] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, axis=1)
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(own[order].ravel()[keep.ravel()]), pa.array(best.ravel()[keep.ravel()])], names=["query_id", "id", "score"])
-
-        parts.append(rows.mapInArrow(step, "query_id long, id long, score double"))
-    if not parts:
-        return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
+    every = _against(rows.select("id", none, "embedding"), queries.select("id", none, "embedding"), "query_id long, id long, score double", best)
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
+def ranks(index: DataFrame, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """query_id, best, better of queries(id, tag, embedding) with a row of their tag in index(id, tag, embedding): the best
+    score among these, and how many rows score above it. With ids as tags, the rank of each query's own row.
+
+    Two passes over the products; of each block only a number for each query is kept.
+    """
+
+    def own_best(own, tag, other, tags, s):
+        s = np.where((tag[:, None] == tags) & ~(exclude_self & (own[:, None] == other)), s, -np.inf)
+        top = s.max(axis=1)
+        keep = np.isfinite(top)
+        return own[keep], top[keep]
+
+    def above(own, best, other, _, s):
+        if exclude_self:
+            s = np.where(own[:, None] == other, -np.inf, s)
+        return own, (s > best[:, None]).sum(axis=1)
+
+    best = _against(index, queries, "query_id long, best double", own_best).groupBy("query_id").agg(F.max("best").alias("best"))
+    asked = queries.select("id", "embedding").join(best, F.col("id") == F.col("query_id")).select("id", F.col("best").alias("tag"), "embedding")
+    counted = _against(index, asked, "query_id long, better long", above).groupBy("query_id").agg(F.sum("better").alias("better"))
+    return best.join(counted, "query_id")
+
+
 def margins(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, nearest, best, margin (1 - best) to the nearest other vector."""
     return search(index, queries, 1, exclude_self=True).select("query_id", F.col("id").alias("nearest"), F.col("score").alias("best"), (1 - F.col("score")).alias("margin"))

@@ -6,26 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, collection, evaluate, export, fusion, ingest, reconcile, vectors
-from . import roles
+from ..operators import catalog, collection, export, ingest, reconcile
+from . import catalog_queries, recognition_queries, roles, trade_queries  # noqa: F401  they register themselves
+from .base import ORACLE, QUERIES, query  # noqa: F401
 from .roles import table, with_roles
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
 # Collections
 
 _PLACES = "SELECT DISTINCT collector, card_id, CAST(binder_id AS VARCHAR) AS place FROM items"
@@ -95,41 +80,13 @@ def q_apply_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.apply_trade(own, gave, got).select("collector", "binder_id", "card_id", "variant", "condition", F.col("slot").cast("int").alias("slot"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations trade with each other: what their trade binders offer meets what their customers wish for."""
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collector"), F.col("c_nationkey").alias("nation"))
-    offered = roles.items(spark, sf_dir).filter("binder_type = 'trade' and not keep").join(nation, "collector")
-    offered = offered.withColumn("ordinal", F.row_number().over(Window.partitionBy("nation", "card_id").orderBy("binder_id", "slot", "variant", "condition")).cast("long"))
-    wants = roles.manual_wishes(spark, sf_dir).join(nation, "collector")
-    wants = wants.withColumn("ordinal", F.col("collector")).withColumn("nation", (F.col("nation") + 1) % 25)
-    pair = F.col("nation").cast("string").alias("pair")
-    return offered.select(pair, "card_id", "ordinal", "variant", "condition"), wants.select(pair, "card_id", "ordinal", "variant", "min_condition", "priority", "quantity")
-
-
 @query(f"""{with_roles("items", "wishes")},
 offered AS (SELECT CAST(c_nationkey AS VARCHAR) AS pair, card_id, row_number() OVER (PARTITION BY c_nationkey, card_id ORDER BY binder_id, slot, variant, condition) AS ordinal
   FROM items JOIN customer ON collector = c_custkey WHERE binder_type = 'trade' AND NOT keep),
 room AS (SELECT CAST((c_nationkey + 1) % 25 AS VARCHAR) AS pair, card_id, sum(quantity) AS room FROM wishes JOIN customer ON collector = c_custkey GROUP BY ALL)
 SELECT pair, card_id, ordinal, CAST(ordinal AS INTEGER) AS nth FROM offered JOIN room USING (pair, card_id) WHERE ordinal <= room""")
 def q_match_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.simple_offers(*_sides(spark, sf_dir))
-
-
-@query()
-def q_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offered, wants = _sides(spark, sf_dir)
-    return collection.offers(offered.withColumn("card_id", F.col("card_id").cast("string")), wants.withColumn("card_id", F.col("card_id").cast("string")))
-
-
-@query()
-def q_fair_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders of customers against all of their neighbours by key, dearest first, valued at the order's price."""
-    o = table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
-    sides = o.select(
-        F.floor(F.col("o_custkey") / 2).cast("string").alias("pair"), F.when(F.col("o_custkey") % 2 == 0, "get").otherwise("give").alias("side"), F.col("o_orderkey").cast("string").alias("card_id"),
-        F.col("nth").cast("long").alias("ordinal"), F.when(F.col("o_orderstatus") == "F", "need").otherwise("want").alias("priority"), F.col("o_totalprice").alias("value"),
-    )
-    return collection.fair_trade(sides)
+    return collection.simple_offers(*trade_queries.sides(spark, sf_dir))
 
 
 # Text
@@ -167,10 +124,10 @@ def q_norm_set_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), T.normal_set_id(raw).alias("normal"))
 
 
-@query("""SELECT p_partkey AS part_id, CASE WHEN lower(trim(p_type)) IN ('common', 'uncommon') THEN lower(trim(p_type)) WHEN lower(trim(p_type)) IN ('', 'promo') THEN NULL ELSE 'rare' END AS tier
-FROM (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Common' WHEN 'STANDARD' THEN ' uncommon' WHEN 'PROMO' THEN 'Promo' ELSE p_type END AS p_type FROM part)""")
+@query("""SELECT p_partkey AS part_id, CASE WHEN lower(trim(p_type)) IN ('common', 'uncommon') THEN lower(trim(p_type)) WHEN p_type = '' OR lower(trim(p_type)) = 'promo' THEN NULL ELSE 'rare' END AS tier
+FROM (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Common' WHEN 'STANDARD' THEN ' uncommon' WHEN 'PROMO' THEN 'Promo' WHEN 'SMALL' THEN '  ' WHEN 'LARGE' THEN '' ELSE p_type END AS p_type FROM part)""")
 def q_rarity_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("p_type") == "ECONOMY", "Common").when(F.col("p_type") == "STANDARD", " uncommon").when(F.col("p_type") == "PROMO", "Promo").otherwise(F.col("p_type"))
+    kind = F.when(F.col("p_type") == "ECONOMY", "Common").when(F.col("p_type") == "STANDARD", " uncommon").when(F.col("p_type") == "PROMO", "Promo").when(F.col("p_type") == "SMALL", "  ").when(F.col("p_type") == "LARGE", "").otherwise(F.col("p_type"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), T.rarity_tier(kind).alias("tier"))
 
 
@@ -208,7 +165,7 @@ def q_main_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH have AS (SELECT DISTINCT p_brand AS set_id, p_size AS number FROM part),
 want AS (SELECT set_id, unnest(range(1, 81)) AS number FROM (SELECT DISTINCT p_brand AS set_id FROM part)),
 gone AS (SELECT set_id, list_sort(list(number)) AS l FROM want WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.set_id = want.set_id AND h.number = want.number) GROUP BY 1)
-SELECT set_id AS ref, len(l) || ': ' || array_to_string(l[1:20], ', ') || CASE WHEN len(l) > 20 THEN ' …' ELSE '' END AS detail FROM gone""")
+SELECT set_id AS ref, len(l) || '/80 missing: ' || array_to_string(l[1:20], ', ') || CASE WHEN len(l) > 20 THEN ' …' ELSE '' END AS detail FROM gone""")
 def q_missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     sets = part.select(F.col("p_brand").alias("set_id")).distinct().withColumn("printed_total", F.lit(80))
@@ -293,22 +250,36 @@ def q_price_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reconciliation
 
 
-def _both_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _both_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Codes differ in case; of the overrides every other one names a set that theirs lack."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     date = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
-    ours = s.select(k.alias("seq"), F.concat(F.lit("sv"), F.lpad(k.cast("string"), 3, "0")).alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("C"), k.cast("string"))).alias("code"), date.alias("date"))
+    code = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    ours = s.select(k.alias("seq"), F.concat(F.lit("sv"), F.lpad(k.cast("string"), 3, "0")).alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, code("C")).alias("code"), date.alias("date"))
     other = F.when(k % 2 == 0, F.concat(F.lit("SV"), k.cast("string"))).otherwise(F.concat(F.lit("x"), k.cast("string")))
-    theirs = s.filter(k % 10 != 9).select(k.alias("seq"), other.alias("id"), F.when(k % 5 == 0, F.lit("other")).otherwise(F.upper("s_name")).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("C"), k.cast("string"))).otherwise("").alias("code"), date.alias("date"))
-    return ours, theirs
+    theirs = s.filter(k % 10 != 9).select(k.alias("seq"), other.alias("id"), F.when(k % 5 == 0, F.lit("other")).otherwise(F.upper("s_name")).alias("name"), F.when(k % 3 == 0, code("c")).otherwise("").alias("code"), date.alias("date"))
+    over = s.filter(k % 20 == 19).select(F.concat(F.lit("sv"), F.lpad(k.cast("string"), 3, "0")).alias("our_id"), F.when(k % 40 == 19, F.concat(F.lit("SV"), (k - 1).cast("string"))).otherwise("absent").alias("their_id"))
+    return ours, theirs, over
 
 
-@query("""SELECT 'sv' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS our_id, CASE WHEN s_suppkey % 2 = 0 THEN 'SV' ELSE 'x' END || s_suppkey AS their_id
-FROM supplier WHERE s_suppkey % 10 <> 9 AND (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0)""")
+@query("""WITH m AS (SELECT s_suppkey AS k, 'sv' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS our_id, CASE WHEN s_suppkey % 40 = 19 THEN 'SV' || (s_suppkey - 1) WHEN s_suppkey % 10 <> 9 AND (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0)
+  THEN CASE WHEN s_suppkey % 2 = 0 THEN 'SV' ELSE 'x' END || s_suppkey END AS their_id FROM supplier)
+SELECT our_id, their_id FROM m WHERE their_id IS NOT NULL AND (k % 40 = 19 OR NOT EXISTS (SELECT 1 FROM m o WHERE o.k % 40 = 19 AND o.their_id = m.their_id))""")
 def q_entity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.map_sets(*_both_sets(spark, sf_dir))
 
 
+@query("""WITH m AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 <> 9 AND (s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 <> 0) THEN 1 END AS met FROM supplier)
+SELECT 'ours' AS side, 'sv' || lpad(CAST(k AS VARCHAR), 3, '0') AS id FROM m WHERE k % 40 <> 19 AND (met IS NULL OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 40 = 19 AND s_suppkey - 1 = k))
+UNION ALL SELECT 'theirs', CASE WHEN k % 2 = 0 THEN 'SV' ELSE 'x' END || k FROM m WHERE k % 10 <> 9 AND met IS NULL""")
+def q_unmatched_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours, theirs, over = _both_sets(spark, sf_dir)
+    mapping = reconcile.map_sets(ours, theirs, over)
+    left = lambda df, side: reconcile.unmatched(df.select("id"), mapping, f"{'our' if side == 'ours' else 'their'}_id").select(F.lit(side).alias("side"), "id")
+    return left(ours, "ours").unionByName(left(theirs, "theirs"))
+
+
 @query("""WITH o AS (SELECT p_brand AS set_id, CAST(p_partkey AS VARCHAR) AS number, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN 'Common' ELSE 'Rare Holo' END AS rarity, p_partkey FROM part WHERE p_partkey % 11 <> 0),
 t AS (SELECT p_brand AS set_id, CAST(p_partkey AS VARCHAR) AS number, CASE WHEN p_partkey % 13 = 0 THEN 'other' ELSE upper(p_name) END AS name, CASE WHEN p_partkey % 4 = 0 THEN 'common' ELSE 'Rare' END AS rarity, p_partkey FROM part WHERE p_partkey % 17 <> 0)
 SELECT set_id, number, CASE WHEN t.p_partkey IS NULL THEN 'xcheck_only_in_catalog' WHEN o.p_partkey IS NULL THEN 'xcheck_missing_from_catalog'
@@ -322,123 +293,6 @@ def q_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.compare_cards(ours, theirs).select("set_id", "number", "kind")
 
 
-# Vectors and evidence
-
-
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-
-
-_DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(x.embedding[i] AS DOUBLE)))"
-
-
-def _scored(k: int) -> str:
-    return f"""s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, {_DOT} AS score FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {k})"""
-
-
-def _asked(index: DataFrame) -> DataFrame:
-    return index.filter("id % 100 = 0")
-
-
-@query(f"WITH {_scored(10)} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r")
-def q_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    return vectors.search(index, _asked(index), 10, exclude_self=True).withColumn("score", F.round("score", 6))
-
-
-@query(f"""WITH {_scored(1)}, m AS (SELECT 1 - score AS margin FROM r)
-SELECT round(quantile_cont(margin, 0.01), 6) AS p1, round(quantile_cont(margin, 0.05), 6) AS p5, round(quantile_cont(margin, 0.25), 6) AS p25, round(quantile_cont(margin, 0.5), 6) AS p50,
-  avg(CASE WHEN margin < 0.01 THEN 1.0 ELSE 0.0 END) AS near_below, avg(CASE WHEN margin <= 0.01 THEN 1.0 ELSE 0.0 END) AS near_at_most, round(max(margin), 6) AS max_margin FROM m""")
-def q_nn_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    out = vectors.margin_summary(vectors.margins(index, _asked(index)))
-    return out.select(*(F.round(c, 6).alias(c) if c[0] in "pm" else c for c in out.columns))
-
-
-@query(f"""WITH {_scored(1)} SELECT query_id, id AS nearest FROM r WHERE 1 - score <= 0.75""")
-def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    return vectors.margins(index, _asked(index)).filter("margin <= 0.75").select("query_id", "nearest")
-
-
-@query(f"""WITH {_scored(1000000)}, t AS (SELECT r.query_id, r.score, x.label = q.label AS same FROM r JOIN embeddings x ON r.id = x.vec_id JOIN embeddings q ON r.query_id = q.vec_id),
-b AS (SELECT query_id, max(score) FILTER (WHERE same) AS best FROM t GROUP BY 1),
-n AS (SELECT b.query_id, count(*) FILTER (WHERE t.score > b.best) AS better FROM t JOIN b USING (query_id) WHERE best IS NOT NULL GROUP BY 1)
-SELECT avg(CASE WHEN better < 1 THEN 1.0 ELSE 0.0 END) AS top1, avg(CASE WHEN better < 4 THEN 1.0 ELSE 0.0 END) AS top4, avg(CASE WHEN better < 5 THEN 1.0 ELSE 0.0 END) AS top5,
-  avg(CASE WHEN better < 20 THEN 1.0 ELSE 0.0 END) AS top20, median(better) AS median_rank, max(better) AS max_rank FROM n""")
-def q_rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many neighbours score above the best one of the query's own label."""
-    index = _index(spark, sf_dir)
-    label = index.select("id", "label")
-    every = vectors.search(index, _asked(index), 1 << 30, exclude_self=True)
-    own = _asked(index).select(F.col("id").alias("query_id"), F.col("label").alias("own"))
-    found = every.join(label, "id").join(F.broadcast(own), "query_id")  # the stated query set
-    best = found.groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("score"))).alias("best"))
-    ranks = found.join(best, "query_id").filter("best is not null").groupBy("query_id").agg(F.count_if(F.col("score") > F.col("best")).alias("better"))
-    return vectors.rank_metrics(ranks)
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten neighbours of each query vector as candidates of a pocket; the label is the set, nine pockets make a page."""
-    index = _index(spark, sf_dir)
-    found = vectors.search(index, _asked(index), 10, exclude_self=True).join(index.select("id", "label"), "id")
-    slot = F.floor(F.col("query_id") / 100)
-    return found.select(
-        F.floor(slot / 9).alias("page"), (slot % 9).alias("pocket"), F.col("id").alias("card_id"), F.col("label").alias("set_id"), (F.col("id") % 60).alias("number"),
-        F.round("score", 6).alias("visual"), (F.col("id") % 7 == 0).alias("number_hit"), F.lit(False).alias("total_hit"), (F.col("id") % 90).cast("int").alias("orb"),
-    )
-
-
-_FUSED = f"""{_scored(10)},
-c AS (SELECT (query_id // 100) // 9 AS page, (query_id // 100) % 9 AS pocket, id AS card_id, label AS set_id, id % 60 AS number, round(score, 6) AS visual,
-  14 * round(score, 6) + CASE WHEN id % 7 = 0 THEN 3 ELSE 0 END + 0.08 * least(id % 90, 50) AS score FROM r JOIN embeddings ON id = vec_id),
-e AS (SELECT *, exp(score - max(score) OVER w) AS x, row_number() OVER (PARTITION BY page, pocket ORDER BY round(score, 9) DESC, card_id) AS rank FROM c WINDOW w AS (PARTITION BY page, pocket)),
-p AS (SELECT *, x / sum(x) OVER (PARTITION BY page, pocket) AS probability FROM e)"""
-
-
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.with_probability(_candidates(spark, sf_dir).withColumn("score", F.round(fusion.raw_score(F.lit(0), F.lit(0)), 9)))
-
-
-@query(f"WITH {_FUSED} SELECT CAST(page AS BIGINT) AS page, CAST(pocket AS BIGINT) AS pocket, card_id, round(probability, 6) AS probability, CAST(rank AS INTEGER) AS rank FROM p")
-def q_softmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).select("page", "pocket", "card_id", F.round("probability", 6).alias("probability"), "rank")
-
-
-@query(f"""WITH {_FUSED} SELECT CAST(page AS BIGINT) AS page, CAST(pocket AS BIGINT) AS pocket, card_id, CASE WHEN probability >= 0.9 AND visual >= 0.55 THEN 'confirmed' ELSE 'review' END AS status,
-  CASE WHEN visual < 0.55 THEN 'low_visual_match' ELSE '' END AS flags FROM p WHERE rank = 1""")
-def q_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.decide(_fused(spark, sf_dir)).select("page", "pocket", "card_id", "status", F.array_join("flags", ",").alias("flags"))
-
-
-@query(f"""WITH {_FUSED}, v AS (SELECT page, set_id, count(*) AS n, min(pocket) AS seen FROM p WHERE rank = 1 AND probability >= 0.1 GROUP BY ALL),
-w AS (SELECT *, sum(n) OVER (PARTITION BY page) AS every, row_number() OVER (PARTITION BY page ORDER BY n DESC, seen) AS nth FROM v)
-SELECT CAST(page AS BIGINT) AS page, set_id AS dominant FROM w WHERE nth = 1 AND n >= 2 AND n * 2 >= every""")
-def q_dominant_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.dominant_set(_fused(spark, sf_dir).filter("rank = 1"), 0.1)
-
-
-@query(f"""WITH {_FUSED}, v AS (SELECT page, number - pocket AS base, count(*) AS n, min(pocket) AS seen FROM p WHERE rank = 1 AND probability >= 0.1 GROUP BY ALL)
-SELECT CAST(page AS BIGINT) AS page, CAST(base AS BIGINT) AS base FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, seen) AS nth FROM v) WHERE nth = 1""")
-def q_sequence_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.page_base(_fused(spark, sf_dir).filter("rank = 1"), F.col("pocket"), 0.1)
-
-
-@query()
-def q_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passes: scores, the page's set and sequence, rescored and decided."""
-    out = fusion.decide(fusion.passes(_candidates(spark, sf_dir), F.col("pocket")), F.col("pocket"))
-    return out.select("page", "pocket", "card_id", F.round("probability", 6).alias("probability"), "status", F.array_join("flags", ",").alias("flags"))
-
-
-@query("""WITH o AS (SELECT quality = 1 AS correct, (doc_id % 100) / 100.0 AS probability FROM labels), t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) AS threshold)
-SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE probability >= threshold) AS auto, avg(CASE WHEN probability >= threshold THEN CASE WHEN correct THEN 1.0 ELSE 0.0 END END) AS precision,
-  avg(CASE WHEN probability >= threshold THEN 1.0 ELSE 0.0 END) AS coverage FROM o CROSS JOIN t GROUP BY 1""")
-def q_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.threshold_sweep(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct"), (F.col("doc_id") % 100 / F.lit(100.0)).alias("probability")))
-
-
 # Exports
 
 
@@ -466,13 +320,3 @@ SELECT collector, 'Need 1:' || chr(10) || '  ' || CASE WHEN name || label = '' T
   || CASE WHEN quantity > 1 THEN ' x' || quantity ELSE '' END || CASE WHEN collector % 4 = 0 THEN '  [have a copy elsewhere]' ELSE '' END || chr(10) AS text FROM named""")
 def q_wishlist_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.wishlist_text(roles.manual_wishes(spark, sf_dir), _listed(spark, sf_dir), _meta(spark, sf_dir))
-
-
-@query(f"""{with_roles("sets")},
-b AS (SELECT set_id, '{{"cards":[' || string_agg('{{"id":"' || card_id || '","local_id":"' || number || '","name":"' || p_name || '","number":' || number || ',"number_prefix":"","number_suffix":"","rarity":null}}', ',' ORDER BY number) || '],"set":"' || set_id || '"}}' AS body, count(*) AS n FROM sets JOIN part ON p_partkey = card_id GROUP BY set_id)
-SELECT set_id, CAST(n AS INTEGER) AS n_cards, sha256(body) AS sha256 FROM b""")
-def q_pack_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("name"))
-    cards = roles.sets(spark, sf_dir).join(names, "card_id")
-    cards = cards.select("set_id", F.col("card_id").cast("string").alias("id"), F.col("number").cast("string").alias("local_id"), "name", "number", F.lit("").alias("number_prefix"), F.lit("").alias("number_suffix"), F.lit(None).cast("string").alias("rarity"))
-    return export.json_packs(cards).select("set_id", "n_cards", "sha256")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cardloom.operators import collection as C
 
@@ -102,3 +103,36 @@ def test_plans(spark):
     assert rows(C.plan_gate(held), "plan", "cards_held", "can_add") == [("free", 0, True), ("free", 199, True), ("free", 200, False), ("free", 5000, False), ("premium", 100000, True)]
     log = spark.createDataFrame([(1, "2024-01-02", 0), (1, "2024-01-03", 1), (1, "2024-01-03", 2)], "collector long, completed_at string, ordinal int")
     assert rows(C.trade_history(log, None), "rank", "ordinal") == [(1, 1), (2, 2), (3, 0)] and C.trade_history(log, 0).count() == 0
+    with pytest.raises(Exception, match="unknown plan: gold"):
+        C.plan_gate(spark.createDataFrame([("gold", 1)], "plan string, cards_held long")).collect()
+    rules = spark.createDataFrame([("free", 200, 3), ("premium", 200, 3)], "plan string, cards_held long, binders_held long")
+    got = {r.plan: r for r in C.plan_rules(rules).collect()}
+    assert [got["free"][c] for c in ("can_add_card", "can_add_pages", "can_add_binder", "shows_values", "shows_gap_detail", "allows_trading", "allows_backup", "allows_export", "allows_catalog_updates", "trades_shown")] == [False, False, True, False, False, False, False, False, False, 0]
+    assert all(got["premium"][c] for c in got["premium"].asDict() if c[:3] in ("can", "sho", "all")) and got["premium"].trades_shown is None
+    of = log.withColumn("plan", F.lit("free")).unionAll(log.withColumn("plan", F.lit("premium")).withColumn("collector", F.lit(2).cast("long")))
+    assert [r[0] for r in rows(C.visible_history(of), "collector")] == [2, 2, 2]
+
+
+def test_a_wish_without_a_quantity_is_for_one(spark):
+    offered = spark.createDataFrame([("p", "x", 1, "normal", "LP"), ("p", "x", 2, "normal", "NM")], OFFERED)
+    wants = spark.createDataFrame([("p", "x", 1, None, None, None, None)], WANTS)
+    assert rows(C.offers(offered, wants), "ordinal", "outcome", "priority") == [(1, "offer", "want")]
+    assert rows(C.simple_offers(offered, wants), "ordinal") == [(1,)]
+    wish = spark.createDataFrame([(1, "q", "want", None, None, None)], "collector long, card_id string, priority string, variant string, min_condition string, quantity int")
+    assert rows(C.open_wishes(wish, items(spark, ("a", "set", "x"))), "card_id", "quantity") == [("q", 1)]
+
+
+def test_match_of_two_collectors(spark):
+    own = spark.createDataFrame([(1, "t", "trade", "a", "normal", "NM", False, 0, 0), (1, "t", "trade", "b", "holo", "LP", False, 0, 1), (2, "u", "trade", "c", "normal", "NM", False, 0, 0), (2, "u", "trade", "d", "normal", "DMG", False, 0, 1), (2, "s", "set", "a", "normal", "NM", False, 0, 2), (2, "u", "trade", "e", "normal", "NM", False, 0, 3)], ITEM)
+    wish = "collector long, ordinal int, card_id string, priority string, variant string, min_condition string, quantity int"
+    wishes = spark.createDataFrame([(1, 0, "d", "want", None, "NM", 1), (1, 1, "e", "want", None, None, None), (2, 0, "b", "want", "normal", None, 1)], wish)
+    sets = spark.createDataFrame([("s", 1, "a", 2), ("s", 2, "c", 2)], "set_id string, number int, card_id string, printed_total int")
+    binders = spark.createDataFrame([(1, "z", "s", False), (2, "s", "s", False)], "collector long, binder_id string, set_id string, include_secrets boolean")
+    free, wants = C.profile(own, wishes, C.set_gaps(binders, sets, own))
+    assert rows(free, "collector", "card_id", "ordinal") == [(1, "b", 1), (2, "d", 1), (2, "e", 2)]  # a and c are needed
+    assert rows(wants, "collector", "card_id", "priority", "ordinal") == [(1, "a", "need", 3), (1, "c", "need", 4), (1, "d", "want", 1), (1, "e", "want", 2), (2, "b", "want", 1), (2, "c", "need", 2)]
+    pairs = spark.createDataFrame([("p|1", 1, 2), ("q", 2, 1)], "pair string, mine long, theirs long")
+    prices = spark.createDataFrame([("e|normal", 4.0)], "key string, price double")
+    good, near = C.match(pairs, free, wants, prices)
+    assert rows(good, "pair", "side", "rank", "card_id", "value") == [("p|1", "for_me", 1, "e", 4.0), ("q", "for_them", 1, "e", 4.0)]
+    assert rows(near, "pair", "nth", "card_id", "wanted_variant", "wanted_min_condition") == [("p|1", 1, "d", None, "NM"), ("p|1", 2, "b", "normal", None), ("q", 1, "b", "normal", None), ("q", 2, "d", None, "NM")]
