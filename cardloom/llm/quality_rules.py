@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_batch, texts_of
-from .learning import labelled
+from .learning import labelled, logistic
 
 #: The symbols that count.
 SYMBOLS = "#*$%&|<>"
@@ -109,48 +110,88 @@ class Crf:
         return np.array(out[::-1])
 
     @staticmethod
-    def fit(texts: list[np.ndarray], labels: list[int], l2: float = 1e-3, rounds: int = 150) -> Crf:
-        """Maximum likelihood by Adam; every line carries its document's label, as no line is labelled on its own.
+    def gradient(texts: list[np.ndarray], labels: list[np.ndarray]) -> Callable:
+        """Of the mean log likelihood of the lines' labels, as a function of emit and move.
 
         Forward and backward sums run over all documents side by side, longest first.
         """
-        k = len(FEATURES)
         pairs = sorted(((x, y) for x, y in zip(texts, labels) if len(x)), key=lambda p: -len(p[0]))
-        emit, move = np.zeros((2, k)), np.zeros((2, 2))
-        if not pairs:
-            return Crf(emit, move)
         size = np.array([len(x) for x, _ in pairs])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        x = np.concatenate([x for x, _ in pairs])
-        y = np.repeat([y for _, y in pairs], size)
+        x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        total = len(x)
+        inner = np.setdiff1d(np.arange(total), start + size - 1)
         gold_emit = np.stack([x[y == c].sum(axis=0) for c in (0, 1)])
-        gold_move = np.zeros((2, 2))
-        for c in (0, 1):
-            gold_move[c, c] = sum(n - 1 for n, (_, d) in zip(size, pairs) if d == c)
+        gold_move = np.array([[np.sum((y[inner] == a) & (y[inner + 1] == b)) for b in (0, 1)] for a in (0, 1)], float)
         live = [int((size > t).sum()) for t in range(size[0])]
-        state = [np.zeros((2, k)), np.zeros((2, 2)), np.zeros((2, k)), np.zeros((2, 2))]
-        total = len(x)
-        for turn in range(1, rounds + 1):
+
+        def at(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             s = x @ emit.T
             fwd, bwd = np.zeros_like(s), np.zeros_like(s)
             fwd[start] = s[start]
             for t in range(1, size[0]):
-                at = start[: live[t]] + t
-                fwd[at] = np.logaddexp(fwd[at - 1, :1] + move[0], fwd[at - 1, 1:] + move[1]) + s[at]
+                i = start[: live[t]] + t
+                fwd[i] = np.logaddexp(fwd[i - 1, :1] + move[0], fwd[i - 1, 1:] + move[1]) + s[i]
             for t in range(size[0] - 2, -1, -1):
-                at = start[: live[t + 1]] + t
-                nxt = s[at + 1] + bwd[at + 1]
-                bwd[at] = np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1])
+                i = start[: live[t + 1]] + t
+                nxt = s[i + 1] + bwd[i + 1]
+                bwd[i] = np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1])
             z = np.repeat(np.logaddexp(*(fwd[start] + bwd[start]).T), size)
             p = np.exp(fwd + bwd - z[:, None])
-            inner = np.setdiff1d(np.arange(total), start + size - 1)
             pair = np.exp(fwd[inner][:, :, None] + move + (s[inner + 1] + bwd[inner + 1])[:, None, :] - z[inner][:, None, None]).sum(axis=0)
-            grads = ((gold_emit - p.T @ x) / total - l2 * emit, (gold_move - pair) / total - l2 * move)
-            for i, (w, g) in enumerate(zip((emit, move), grads)):
-                state[i] = 0.9 * state[i] + 0.1 * g
-                state[i + 2] = 0.99 * state[i + 2] + 0.01 * g * g
-                w += 0.1 * (state[i] / (1 - 0.9**turn)) / (np.sqrt(state[i + 2] / (1 - 0.99**turn)) + 1e-8)
-        return Crf(emit, move)
+            return (gold_emit - p.T @ x) / total, (gold_move - pair) / total
+
+        return at
+
+    @staticmethod
+    def fit(texts: list[np.ndarray], labels: list[np.ndarray], l2: float = 1e-3, rounds: int = 150) -> Crf:
+        """Maximum likelihood of each document's line labels by Adam."""
+        w = [np.zeros((2, len(FEATURES))), np.zeros((2, 2))]
+        if not any(map(len, texts)):
+            return Crf(*w)
+        at = Crf.gradient(texts, labels)
+        first, second = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w]
+        for turn in range(1, rounds + 1):
+            for i, g in enumerate(at(*w)):
+                g = g - l2 * w[i]
+                first[i] = 0.9 * first[i] + 0.1 * g
+                second[i] = 0.99 * second[i] + 0.01 * g * g
+                w[i] = w[i] + 0.1 * (first[i] / (1 - 0.9**turn)) / (np.sqrt(second[i] / (1 - 0.99**turn)) + 1e-8)
+        return Crf(*w)
+
+    @staticmethod
+    def of_documents(texts: list[np.ndarray], labels: list[int], turns: int = 2) -> Crf:
+        """From labels of whole documents, by hard EM over the lines' labels.
+
+        At first a line is content as far as its features are likelier among lines of good documents than of bad ones,
+        so that a bad document's prose is content and a good one's junk isn't. Then the chain is fitted to these and
+        marks the lines anew, with their neighbours. In each turn a good document keeps content as half of its lines at
+        least, and a bad one boilerplate in one at least, those that come nearest to it.
+        """
+        pairs = [(x, y) for x, y in zip(texts, labels) if len(x)]
+        if len({y for _, y in pairs}) < 2:  # nothing tells lines apart
+            return Crf.fit([x for x, _ in pairs], [np.full(len(x), y) for x, y in pairs])
+        x = np.concatenate([x for x, _ in pairs])
+        y = np.repeat([float(y) for _, y in pairs], [len(x) for x, _ in pairs])
+        w = logistic(x, y)
+        prior = np.log(y.mean() / (1 - y.mean()))
+        own = [x @ w[:-1] + w[-1] - prior for x, _ in pairs]
+        marks = [Crf.allowed(o >= 0, o, y) for o, (_, y) in zip(own, pairs)]
+        crf = Crf.fit([x for x, _ in pairs], marks)
+        for _ in range(turns):
+            marks = [Crf.allowed(crf.mark(x), o, y) for o, (x, y) in zip(own, pairs)]
+            crf = Crf.fit([x for x, _ in pairs], marks)
+        return crf
+
+    @staticmethod
+    def allowed(marks: np.ndarray, odds: np.ndarray, good: int) -> np.ndarray:
+        """The marks with as few changed as the document's label demands, by the lines' odds to be content."""
+        marks = np.asarray(marks).astype(int)
+        order = np.argsort(odds, kind="stable")
+        if good:
+            least = order[::-1][: (len(marks) + 1) // 2]
+            return marks if 2 * marks.sum() >= len(marks) else np.where(np.isin(np.arange(len(marks)), least), 1, marks)
+        return marks if not marks.all() else np.where(np.arange(len(marks)) == order[0], 0, marks)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Crf:
@@ -166,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Crf:
     rows = per_batch(labelled(docs, labels, "quality", most).select("text", "y"), "y int, x binary, n int", make).collect()
     rows.sort(key=lambda r: (r.n, r.y, bytes(r.x)))
     k = len(FEATURES)
-    return Crf.fit([np.unpackbits(np.frombuffer(bytes(r.x), np.uint8), count=r.n * k).reshape(r.n, k).astype(float) for r in rows], [int(r.y > 0) for r in rows])
+    return Crf.of_documents([np.unpackbits(np.frombuffer(bytes(r.x), np.uint8), count=r.n * k).reshape(r.n, k).astype(float) for r in rows], [int(r.y > 0) for r in rows])
 
 
 def judge(docs: DataFrame, crf: Crf, share: float = CONTENT_SHARE) -> DataFrame:
