@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once a context, and bound Arrow batches unless the session does so itself."""
     sc = spark.sparkContext
     if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(8 << 20))
+        spark.conf.set(_BATCH, str(4 << 20))
     if sc in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -116,13 +118,24 @@ def release() -> None:
         s.drop()
 
 
+def give_back() -> None:
+    """Return to the system what a finished task has freed: a worker outlives its tasks, and would keep the most it ever had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_partition(df: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow of a generator that gives columns, a dict of name to list or array, in the order of schema."""
     ship(df.sparkSession)
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in run(batches):
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+        try:
+            for cols in run(batches):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+        finally:
+            give_back()
 
     return df.mapInArrow(arrow, schema)
 

@@ -20,26 +20,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, per_batch
+from .common import Saved, fresh, per_batch, per_partition, scratch, texts_of, words_of
 
 #: Kinds in the order of spans that start together; the method's own kind comes last.
 KINDS = ("email", "ip", "card", "phone", "term")
+#: What sanitise adds.
+COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "clean_text")
 #: Words on each side of an entity, texts with a term that weigh as much as what is known without it, and the share of
 #: the entity's information that a term may not reach.
 WINDOW, SUPPORT, DISCLOSURE = 5, 3, 0.75
-#: Disclosing terms that may be broadcast (about 50 bytes each); more are joined. Likewise hashes of repeated texts.
-MOST_BROADCAST = 100_000
+#: Disclosing terms that may be broadcast, and their bytes; more are joined. Likewise hashes of repeated texts.
+MOST_BROADCAST, MOST_BYTES = 100_000, 8 << 20
 _BITS = 1 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match starts and ends with a run of digits, so each run is read a few times
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_ANY = re.compile(rb"[@0-9]")  # without one of these a text holds no pattern
+_NONE, _NO_SPANS = [0] * 5, hashlib.sha256(b"").hexdigest()
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -67,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, end))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 4000) and all(len(p) < 4000 for p in m[0].split(".")):
+            if all(len(p) < 4 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
@@ -131,9 +135,12 @@ def _contexts(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             rows: list[tuple[str, str | None, int]] = []
-            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = base_spans(text or "")
-                for span, (before, after) in zip(spans, beside(text or "", spans)):
+            for raw, own in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                if not _ANY.search(raw):
+                    continue
+                text = raw.decode()
+                spans = base_spans(text)
+                for span, (before, after) in zip(spans, beside(text, spans)):
                     e = entity(text, span)
                     rows += [(e, t, own) for t in {None, *before, *after}]
             es, ts, ids = zip(*rows) if rows else ((), (), ())
@@ -159,10 +166,23 @@ def _slot(term: str) -> int:
     return h % _BITS
 
 
+def _term_of(word: bytes, table: np.ndarray) -> str:
+    """The word as a term if its bit is set, else nothing."""
+    t = normal(word.decode())
+    return t if t and table[_slot(t)] else ""
+
+
 def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """term, disclosure of the terms that give some entity away, from all documents; equal texts count as one."""
-    seen = Saved(_contexts(docs).distinct(), "contexts").df
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c"))
+    with scratch() as kept:
+        kept.append(out := Saved(_disclosing(docs, support, threshold), "disclosing"))
+    return out.df
+
+
+def _disclosing(docs: DataFrame, support: int, threshold: float) -> DataFrame:
+    seen = Saved(_contexts(docs).distinct(), "contexts")
+    pairs = Saved(seen.df.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")), "counts").df
+    seen.drop()
     mentions = pairs.filter("term is null").select(F.col("entity").alias("own"), F.col("c").alias("n_entity"))
     near = pairs.filter(F.col("term").isNotNull())
     near = Saved(near.join(mentions, F.col("entity") == F.col("own")).select("entity", "term", "c", "n_entity"), "pairs").df
@@ -171,26 +191,18 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCL
         return terms.select("term", F.lit(0.0).alias("disclosure")).limit(0)
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
-    def make():
-        table = bits.value
-        asked: dict[str, str] = {}
-
-        def look(word: str) -> str:
-            t = normal(word)
-            if len(asked) > 300_000:
-                asked.clear()
-            asked[word] = t = t if t and table[_slot(t)] else ""
-            return t
-
-        def step(batch: pa.RecordBatch) -> dict:
-            met: dict[str, int] = {}
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(_WORD.findall(text or ""))
-                for t in {asked[w] if w in asked else look(w) for w in words} - {""}:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table, asked, met = bits.value, {}, {}
+        for batch in batches:
+            for raw, weight in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                for t in {asked[w] if w in asked else asked.setdefault(w, _term_of(w, table)) for w in set(words_of(raw))} - {""}:
                     met[t] = met.get(t, 0) + weight
-            return {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
-
-        return step
+                if len(asked) > 300_000:
+                    asked.clear()
+            if len(met) > 300_000:
+                yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
+                met = {}
+        yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
 
     # Every row counts 1; each text that is repeated then takes back what its copies have counted.
     texts = _texts(docs)
@@ -198,7 +210,7 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCL
     copies = Saved(ids.filter("n > 1").select("text_id", (1 - F.col("n")).alias("weight")), "copies").df
     again = texts.join(F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies, "text_id")
     again = again.groupBy("text_id", "weight").agg(F.first("text").alias("text")).select("text", "weight")
-    weighed = per_batch(texts.select("text", F.lit(1).cast("long").alias("weight")), "term string, n long", make).unionAll(per_batch(again, "term string, n long", make))
+    weighed = per_partition(texts.select("text", F.lit(1).cast("long").alias("weight")), "term string, n long", count).unionAll(per_partition(again, "term string, n long", count))
     counts = weighed.groupBy("term").agg(F.sum("n").alias("n_term"))
     prior = F.col("n_entity") / F.lit(float(ids.count()))
     # A term that only touches its entity is in no text as a word, so c may exceed n_term.
@@ -207,10 +219,10 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCL
     return near.join(counts, "term").withColumn("share", share).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("disclosure"))
 
 
-def _spans(text: str, terms, asked: dict[str, bool]) -> list[Span]:
+def _spans(raw: bytes, text: str, terms, asked: dict[bytes, bool]) -> list[Span]:
     """asked keeps which words are among the terms."""
-    spans = base_spans(text)
-    if terms and any([asked[w] if w in asked else asked.setdefault(w, normal(w) in terms) for w in set(_WORD.findall(text))]):
+    spans = base_spans(text) if _ANY.search(raw) else []
+    if terms and any([asked[w] if w in asked else asked.setdefault(w, normal(w.decode()) in terms) for w in set(words_of(raw))]):
         spans = sorted([*spans, *((a, 4, b) for a, b, w in free_words(text, spans) if normal(w) in terms)])
     return spans
 
@@ -232,8 +244,8 @@ def _words(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             keys, terms = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [t for t in {normal(w) for w in _WORD.findall(text or "")} if t and shared.value[_slot(t)]]
+            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                own = [*({_term_of(w, shared.value) for w in set(words_of(text))} - {""})]
                 keys += [key] * len(own)
                 terms += own
             return {"_key": pa.array(keys, pa.int64()), "term": pa.array(terms, pa.string())}
@@ -250,34 +262,37 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOS
     Null texts count as empty and stay null in clean_text. Spans are in code points, ends exclusive, by start and then
     kind. Repeated rows are each treated, null ids stay. A corpus without personal data has no disclosing terms.
     """
-    terms = Saved(disclosing(docs, support, threshold).select("term"), "terms").df
-    own = "n_email n_ip n_card n_phone n_term base_sha256 spans clean_text".split()
-    keep = [c for c in docs.columns if c not in own]
-    few = terms.count() <= MOST_BROADCAST
+    terms = disclosing(docs, support, threshold).select("term")
+    own = COLUMNS
+    keep = [c for c in docs.columns if c.lower() not in own]
+    number, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    few = number <= MOST_BROADCAST and size <= MOST_BYTES
     listed = docs.select(*(F.col(f"`{c}`") for c in keep))
     if few:
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
     else:  # each row gets those of its own words that disclose, by a join
+        row, own_ = fresh("_key", keep), fresh("_terms", keep)
         key = F.xxhash64(*(F.col(f"`{c}`") for c in keep if dict(docs.dtypes)[c][:3] != "map"))
-        met = _words(docs.select(key.alias("_key"), F.col("text").cast("string").alias("text")), _bitmap(terms)).join(terms, "term").groupBy("_key").agg(F.collect_set("term").alias("_terms"))
-        listed = listed.withColumn("_key", key).join(met, "_key", "left").drop("_key")
+        met = _words(docs.select(key.alias("_key"), F.col("text").cast("string").alias("text")), _bitmap(terms)).join(terms, "term").groupBy(F.col("_key").alias(row)).agg(F.collect_set("term").alias(own_))
+        listed = listed.withColumn(row, key).join(met, row, "left").drop(row)
 
     def make():
-        asked: dict[str, bool] = {}
+        asked: dict[bytes, bool] = {}
 
         def step(batch: pa.RecordBatch) -> dict:
             names = batch.schema.names
-            own_terms = batch.column(names.index("_terms")).to_pylist() if not few else None
+            own_terms = batch.column(names.index(own_)).to_pylist() if not few else None
             counts, digests, lists, texts = [], [], [], []
-            for i, text in enumerate(batch.column(names.index("text")).to_pylist()):
+            column = batch.column(names.index("text"))
+            for i, (raw, there) in enumerate(zip(texts_of(column), column.is_valid().to_pylist())):
                 if not few or len(asked) > 300_000:
                     asked.clear()
-                spans = _spans(text or "", shared.value if few else frozenset(own_terms[i] or ()), asked)
-                base = [s for s in spans if s[1] < 4]
-                counts.append([sum(s[1] == k for s in spans) for k in range(5)])
-                digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
+                text = raw.decode()
+                spans = _spans(raw, text, shared.value if few else frozenset(own_terms[i] or ()), asked)
+                counts.append([sum(s[1] == k for s in spans) for k in range(5)] if spans else _NONE)
+                digests.append(hashlib.sha256(joined([s for s in spans if s[1] < 4]).encode()).hexdigest() if spans else _NO_SPANS)
                 lists.append(joined(spans))
-                texts.append(None if text is None else sanitised_text(text, spans))
+                texts.append(None if not there else sanitised_text(text, spans) if spans else text)
             n = np.array(counts, np.int64)
             return {c: batch.column(names.index(c)) for c in keep} | {c: n[:, k] for k, c in enumerate(own[:5])} | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(lists, pa.string()), "clean_text": pa.array(texts, pa.string())}
 

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from cardloom.llm import pii
 
@@ -94,3 +96,50 @@ def test_terms_far_from_an_entity_are_counted(spark):
     rows = [f"Zorblax {'7 ' * 300}zor@blax.org" for i in range(6)] + [f"t{i} of t{i + 1}" for i in range(100)]
     rows = [f"{t} end{i}" for i, t in enumerate(rows)]
     assert "zorblax" in {r.term for r in pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
+
+
+def test_very_long_texts_take_linear_time():
+    began = time.perf_counter()
+    for text in ("7" * 1_000_000, "1." * 500_000, "a@" * 300_000, "+1" + " (" * 400_000, "0" * 5000 + "1.0.0.0", "x" * 1_000_000 + "@y"):
+        pii.base_spans(text)
+    assert time.perf_counter() - began < 10
+    assert pii.base_spans("0" * 5000 + "1.0.0.255") == [(0, 1, 5009)] and pii.base_spans("1.2.3.4.5.6.7.8") == [(0, 1, 7), (8, 1, 15)]
+
+
+def brute_disclosure(texts):
+    """Of each term, the most that it says of an entity, by the definition, over different texts."""
+    near, words, mentions = {}, {}, {}
+    different = sorted({t for t in texts if t is not None})
+    for i, t in enumerate(different):
+        for w in {pii.normal(w) for w in re.split(r"[\x20\x09-\x0D]+", t)} - {""}:
+            words.setdefault(w, set()).add(i)
+        spans = pii.base_spans(t)
+        for span, (before, after) in zip(spans, pii.beside(t, spans)):
+            e = pii.entity(t, span)
+            mentions.setdefault(e, set()).add(i)
+            for w in {*before, *after}:
+                near.setdefault((e, w), set()).add(i)
+    n, out = len(set(texts)), {}
+    for (e, w), at in near.items():
+        prior = len(mentions[e]) / n
+        given = (len(at) + pii.SUPPORT * prior) / (max(len(at), len(words.get(w, ()))) + pii.SUPPORT)
+        share = math.log2(given / prior) / -math.log2(prior) if prior < 1 else 0.0
+        if w in words and share >= pii.DISCLOSURE:
+            out[w] = max(out.get(w, 0.0), round(share, 9))
+    return out
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)] + ["Ångström", "x@y.org", "a@b.net", "10.0.0.7", "(Zed),", "--"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    texts += [f"{rng.choice(words[:60])} Unique{i} me{i}@mail.org {k} {rng.choice(words[:60])}" for i in range(30) for k in range(4)] + [f"filler {i} w{i % 60}" for i in range(500)] + texts[:30] + texts[:5] * 4 + [None, "", None]
+    got = {r.term: round(r.disclosure, 9) for r in pii.disclosing(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    assert got == brute_disclosure(texts) and len(got) > 20
+
+
+def test_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.org x", 5, 6, 7)], "doc_id long, text string, _key int, _terms int, Spans int")
+    row = pii.sanitise(docs).first()
+    assert (row._key, row._terms, row.n_email) == (5, 6, 1) and row.spans == "email:0:7"
+    assert pii.sanitise(docs.unionAll(docs)).count() == 2
