@@ -43,7 +43,7 @@ def accuracy(outcomes: DataFrame) -> DataFrame:
     empty = F.col("truth").isNull()
     return outcomes.agg(
         _rate(F.coalesce(F.col("top") == F.col("truth"), F.lit(False)), known).alias("top1"), _rate(F.col("in_top_k"), known).alias("topk"),
-        _rate(F.col("state") == "empty", empty).alias("empty_accuracy"), F.count_if(~empty & (F.col("state") == "empty")).alias("false_empty"),
+        _rate(F.col("state") == "empty", empty).alias("empty_accuracy"), F.count_if(known & (F.col("state") == "empty")).alias("false_empty"),
     )
 
 

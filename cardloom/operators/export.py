@@ -107,8 +107,11 @@ def write_catalog(sets: DataFrame, cards: DataFrame, variants: DataFrame, issues
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
-def markdown(rows: DataFrame, limit: int = 40) -> str:
-    """A table of at most limit rows, for reports."""
-    found = rows.limit(limit).collect()
-    cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
-    return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in found)]) + "\n"
+def write_labels(pages: DataFrame, out: str) -> None:
+    """Labelled pages(photo, layout, set_mode, slots, ...) as JSON, a line each, nulls in slots kept."""
+    pages.write.mode("overwrite").option("ignoreNullFields", "false").json(out)
+
+
+def write_results(pages: DataFrame, out: str) -> None:
+    """JSON of pages(page, json), a line each, in order of page."""
+    pages.select("page", "json").orderBy("page").select("json").write.mode("overwrite").text(out)

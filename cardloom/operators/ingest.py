@@ -119,7 +119,7 @@ def status_summary(log: DataFrame, group: str, statuses: tuple[str, ...], gate:
     return out.withColumn("passes", F.col("error_rate") <= gate)
 
 
-def missing_by_set(images: DataFrame, top: int) -> DataFrame:
-    """set_id, missing, total of the sets that lack most images."""
-    per = images.groupBy("set_id").agg(F.count_if(F.col("status") != "ok").alias("missing"), F.count(F.lit(1)).alias("total"))
+def missing_by_set(images: DataFrame, top: int, absent: str = "missing") -> DataFrame:
+    """set_id, missing, total of the sets with most images that the source doesn't have."""
+    per = images.groupBy("set_id").agg(F.count_if(F.col("status") == absent).alias("missing"), F.count(F.lit(1)).alias("total"))
     return per.filter("missing > 0").orderBy(F.desc("missing"), "set_id").limit(top)

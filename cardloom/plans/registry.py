@@ -233,9 +233,9 @@ def q_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.status_summary(_log(spark, sf_dir).withColumn("shard", F.col("card_id") % 10), "shard", ("ok", "nodata", "error"), 0.2)
 
 
-@query(f"""WITH {_LOG} SELECT card_id AS set_id, count(*) FILTER (WHERE status <> 'ok') AS missing, count(*) AS total FROM log GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, set_id LIMIT 25""")
+@query(f"""WITH {_LOG} SELECT card_id AS set_id, count(*) FILTER (WHERE status = 'nodata') AS missing, count(*) AS total FROM log GROUP BY 1 HAVING missing > 0 ORDER BY missing DESC, set_id LIMIT 25""")
 def q_missing_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.missing_by_set(_log(spark, sf_dir).withColumnRenamed("card_id", "set_id"), 25)
+    return ingest.missing_by_set(_log(spark, sf_dir).withColumnRenamed("card_id", "set_id"), 25, "nodata")
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS usd FROM events""")
@@ -301,22 +301,27 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = roles.manual_wishes(spark, sf_dir)
-    return w.select("collector", F.col("card_id").alias("ordinal"), "card_id", "priority", F.lit("manual").alias("source"), "quantity", F.when(F.col("collector") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("owned_elsewhere"))
+    """Two wishes of every third collector, the second of them for a card that may be in no set; none of every fifth."""
+    w = roles.manual_wishes(spark, sf_dir).withColumn("ordinal", F.lit(1))
+    more = w.filter("collector % 3 = 0").withColumns({"ordinal": F.lit(0), "card_id": F.col("card_id") * 3, "priority": F.lit("want")})
+    elsewhere = F.when(F.col("collector") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return w.unionByName(more).filter("collector % 5 <> 0").select("collector", "ordinal", "card_id", "priority", F.lit("manual").alias("source"), "quantity", elsewhere.alias("owned_elsewhere"))
 
 
-_NAMED = """named AS (SELECT w.*, coalesce(p_name, '') AS name, coalesce(set_id, '') AS set_name, coalesce(number || '/' || printed_total, '') AS label
-  FROM wishes w LEFT JOIN sets USING (card_id) LEFT JOIN part ON p_partkey = card_id)"""
+_NAMED = """listed AS (SELECT * FROM (SELECT *, 1 AS ordinal FROM wishes UNION ALL SELECT collector, card_id * 3, 'want', variant, min_condition, quantity, 0 FROM wishes WHERE collector % 3 = 0) WHERE collector % 5 <> 0),
+named AS (SELECT w.*, coalesce(p_name, '') AS name, coalesce(set_id, '') AS set_name, coalesce(number || '/' || printed_total, '') AS label
+  FROM listed w LEFT JOIN sets USING (card_id) LEFT JOIN part ON p_partkey = card_id)"""
 
 
 @query(f"""{with_roles("sets", "wishes")}, {_NAMED}
-SELECT collector, 'card_id,name,set,number,priority,source,quantity,owned_elsewhere' || chr(10) || concat_ws(',', card_id, name, set_name, label, priority, 'manual', quantity, CASE WHEN collector % 4 = 0 THEN 'a;b' ELSE '' END) || chr(10) AS csv FROM named""")
+SELECT collector, 'card_id,name,set,number,priority,source,quantity,owned_elsewhere' || chr(10) || string_agg(concat_ws(',', card_id, name, set_name, label, priority, 'manual', quantity, CASE WHEN collector % 4 = 0 THEN 'a;b' ELSE '' END), chr(10) ORDER BY ordinal) || chr(10) AS csv FROM named GROUP BY collector""")
 def q_wishlist_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.wishlist_csv(_listed(spark, sf_dir), _meta(spark, sf_dir))
 
 
-@query(f"""{with_roles("sets", "wishes")}, {_NAMED}
-SELECT collector, 'Need 1:' || chr(10) || '  ' || CASE WHEN name || label = '' THEN CAST(card_id AS VARCHAR) ELSE name || ' ' || label END || CASE WHEN set_name <> '' THEN ' (' || set_name || ')' ELSE '' END
-  || CASE WHEN quantity > 1 THEN ' x' || quantity ELSE '' END || CASE WHEN collector % 4 = 0 THEN '  [have a copy elsewhere]' ELSE '' END || chr(10) AS text FROM named""")
+@query(f"""{with_roles("sets", "wishes")}, {_NAMED},
+lines AS (SELECT collector, count(*) AS n, string_agg('  ' || CASE WHEN name || label = '' THEN CAST(card_id AS VARCHAR) ELSE trim(name || ' ' || label) END || CASE WHEN set_name <> '' THEN ' (' || set_name || ')' ELSE '' END
+  || CASE WHEN quantity > 1 THEN ' x' || quantity ELSE '' END || CASE WHEN collector % 4 = 0 THEN '  [have a copy elsewhere]' ELSE '' END, chr(10) ORDER BY ordinal) AS l FROM named GROUP BY collector)
+SELECT c_custkey AS collector, CASE WHEN l IS NULL THEN 'Nothing missing.' ELSE 'Need ' || n || ':' || chr(10) || l || chr(10) END AS text FROM customer LEFT JOIN lines ON collector = c_custkey""")
 def q_wishlist_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.wishlist_text(roles.manual_wishes(spark, sf_dir), _listed(spark, sf_dir), _meta(spark, sf_dir))

@@ -219,9 +219,43 @@ def test_readers(spark, tmp_path):
 def test_stream_upsert(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     schema = "card_id long, value string, seq long"
-    for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (2, "old", 0)]]):
+    want = {}
+    for k, rows in enumerate([[(i, f"a{i}", 1) for i in range(40)], [(1, "c", 2), (2, "old", 0), (99, "new", 1)], [(1, "d", 3)], [(1, "e", 4)]]):
+        want |= {i: v for i, v, s in rows if v != "old"}
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        q = spark.readStream.schema(schema).parquet(str(source)).writeStream.foreachBatch(upsert.upsert_into(out, ["card_id"], "seq")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        step = upsert.upsert_into(out, ["card_id"], "seq", 8)
+        q = spark.readStream.schema(schema).parquet(str(source)).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
-    last = upsert.version(spark, out)
-    assert sorted((r.card_id, r.value) for r in spark.read.parquet(f"{out}/v{last}").collect()) == [(1, "c"), (2, "b")]
+        step(spark.createDataFrame(rows, schema), k)  # run again
+        assert {r.card_id: r.value for r in upsert.current(spark, out, schema).collect()} == want
+    stored = upsert._stored(spark, out)
+    assert max(map(len, stored.values())) <= 2 and len(stored) == 8  # the batches of one key have left the other buckets alone
+    assert sum(len(v) for v in stored.values()) < 8 + 6
+
+
+def test_reports(spark, tmp_path):
+    from cardloom.operators import export, reports
+
+    sets = spark.createDataFrame([("en/a", "en", "A|x"), ("ja/b", "ja", "B")], "id string, lang string, name string")
+    cards = spark.createDataFrame([("en/a/1", "en"), ("en/a/2", "en"), ("ja/b/1", "ja")], "id string, lang string")
+    variants = spark.createDataFrame([("en/a/1",), ("en/a/1",), ("ja/b/1",)], "card_id string")
+    issues = spark.createDataFrame([("set", "en/a", "missing_numbers", "1/3 missing: 3"), ("card", "en/a/2", "missing_rarity", ""), ("card", "en/a/1", "duplicate", "f")], "scope string, ref string, kind string, detail string")
+    text = reports.catalog_report(sets, cards, variants, issues, {"commit": "unknown"})
+    for line in ("- commit: unknown", "| en | 1 | 2 | 2 |", "| ja | 1 | 1 | 1 |", "| en/a | A\\|x | 1/3 missing: 3 |", "| en/a | A\\|x | 1 |", "| duplicate | en/a/1 | f |", "| missing_rarity | 1 |"):
+        assert line in text.splitlines(), line
+    mapping = spark.createDataFrame([("en/a", "x")], "our_id string, their_id string")
+    agreed = spark.createDataFrame([(4, 3, 0.75)], "compared long, agree long, share double")
+    text = reports.crosscheck_report(mapping, agreed, spark.createDataFrame([("card", "c", "xcheck_name", "d")], issues.schema), sets.select("id").limit(0), sets.select("id"), "them")
+    assert "- cards compared: 4, agreeing: 3 (75.0%)" in text and "| c | d |" in text and "## Sets of them without a partner" in text and "## Sets of the catalog" not in text
+    images = spark.createDataFrame([("en/a/1", "ok", None), ("en/a/2", "missing", None), ("ja/b/1", "error", "HTTP 403")], "card_id string, status string, error string")
+    text = reports.image_report(images, sets)
+    assert "| en | 1 | 1 | 0 |" in text and "| en/a | A\\|x | 1 | 2 |" in text and "| ja/b/1 | HTTP 403 |" in text
+    found = spark.createDataFrame([("p", 0, "a", "a", 0.99, True, "confirmed", "card"), ("p", 1, None, None, 0.0, False, "empty", "empty"), ("p", 2, "b", "c", 0.4, False, "review", "card")], "photo string, pocket int, truth string, top string, probability double, in_top_k boolean, status string, state string")
+    layouts = spark.createDataFrame([([3, 3], [3, 3])], "expected array<int>, found array<int>")
+    text = reports.evaluation_report(found, layouts, spark.createDataFrame([(["a"], ["a"])], "expected array<string>, found array<string>"), 3.0)
+    assert "- pages: 1, pockets: 3, cards: 2" in text and "- layouts found: 100.0%" in text and "- wishes found: 100.0%, spurious: 0" in text and "Recommended threshold: 0.5" in text and "| p | 2 | b | c | 0.4 | review |" in text and "| p | 1 |" not in text
+    pages = spark.createDataFrame([("p", ["a", None, "?"])], "photo string, slots array<string>")
+    export.write_labels(pages, str(tmp_path / "labels"))
+    assert [r.truth for r in readers.labelled_pages(spark, str(tmp_path / "labels")).orderBy("pocket").collect()] == ["a", None, "?"]
+    export.write_results(spark.createDataFrame([(2, "{}"), (1, "[]")], "page int, json string"), str(tmp_path / "results"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "results")).collect()] == ["[]", "{}"]
