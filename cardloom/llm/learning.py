@@ -35,18 +35,23 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights with the bias last, by Newton's method; constant labels give a constant score."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights with the bias last, by Newton's method; constant labels give a constant score.
+
+    Weights are drawn to prior (else 0), where those stay of which the rows say nothing.
+    """
     x = np.c_[x, np.ones(len(x))] if len(x) else np.zeros((0, x.shape[1] + 1))
+    to = np.zeros(x.shape[1]) if prior is None else np.r_[prior, 0.0]
     w = np.zeros(x.shape[1])
     if not len(x) or y.min() == y.max():
         w[-1] = 0.0 if not len(x) else (8.0 if y[0] else -8.0)
         return w
+    w = to.copy()
     ridge = np.full(len(w), l2 * len(x))
     ridge[-1] = 1e-6 * len(x)
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
+        grad = x.T @ (p - y) + ridge * (w - to)
         hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge)
         move = np.linalg.solve(hess, grad)
         w -= move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, per_batch, texts_of
+from .common import Saved, fresh, per_batch, texts_of
 from .learning import labelled, logistic, remainder
 
-#: The lexicon and the weights are fitted on at most so many labelled documents; the lexicon has at most so many terms.
-TRAIN_DOCS, LEXICON = 20_000, 4000
+#: The lexicon and the weights are fitted on at most so many labelled documents, whose terms bound the lexicon.
+TRAIN_DOCS = 20_000
 #: A term must stand in so many different lines, of which this share is toxic.
 MIN_LINES, MIN_SHARE = 4, 0.9
 #: A stem must begin so many different words of toxic lines.
@@ -42,7 +42,10 @@ _AS_LETTER = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
-FEATURES = ("hits", "exact", "terms", "total", "edit_1", "edit_2", "stems", "direct", "quoted", "reported", "addressed", "rate", "weight", "any")
+#: All but quoted and reported are of direct hits: those neither within quotation marks nor beside a word of reporting.
+FEATURES = ("hits", "exact", "terms", "total", "edit_1", "edit_2", "stems", "addressed", "rate", "weight", "any", "quoted", "reported")
+#: What is held of the context before any document is seen: quoted and reported terms tell against abuse, a reader addressed for it.
+PRIOR = {"addressed": 0.5, "quoted": -1.0, "reported": -1.0}
 
 
 def normal(word: str) -> str:
@@ -176,19 +179,22 @@ class Reader:
             told = bool(near & REPORTING)
             quoted += inside
             reported += told
+            if inside or told:
+                continue
+            direct += 1
             addressed += bool(near & ADDRESS)
             edited[edits] += 1
             if not edits:
                 exact[normal(every[i].decode())] = w
             stems += stem
-            direct += not inside and not told
             weight = max(weight, w)
         size = math.log1p
-        return (size(len(hits)), size(edited[0]), size(len(exact)), size(sum(exact.values())), size(edited[1]), size(edited[2]), size(stems), size(direct), size(quoted), size(reported), size(addressed), len(hits) / len(every) * 20, float(weight), 1.0)
+        return (size(direct), size(edited[0]), size(len(exact)), size(sum(exact.values())), size(edited[1]), size(edited[2]), size(stems), size(addressed), direct / len(every) * 20, float(weight), float(direct > 0), size(quoted), size(reported))
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, float], dict[str, float]]:
-    """Whole words and stems, each with its log-odds; at most ``most`` of both reach the driver.
+def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Whole words and stems, each with its log-odds. Only they reach the driver: terms that stand in MIN_LINES lines of a
+    sample whose number of documents is bounded.
 
     A line counts once however many copies of it there are, and as toxic only if no clean document has it. Words are
     counted within a batch of lines before they are shuffled, stems from the counts of words.
@@ -215,12 +221,12 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
     stemmed = met.df.select(F.explode(prefixes).alias("term"), "n", "k").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("family"))
     counts = met.df.select(F.col("word").alias("term"), "n", "k", F.lit(0).cast("long").alias("family")).unionAll(stemmed)
     good = counts.filter((F.col("n") >= MIN_LINES) & (F.col("k") >= MIN_SHARE * F.col("n")) & (~F.col("term").endswith("*") | (F.col("family") >= FAMILY)))
-    top = good.orderBy(F.desc("k"), "n", "term").limit(most).collect()
+    top = good.collect()
     met.drop()
     words, stems = {}, {}
     for r in sorted(top, key=lambda r: (len(r.term), r.term)):
         # far more toxic lines than chance would give
-        if base > 0.8 or r.k * math.log(1 / max(base, 1e-6)) < 6:
+        if r.k * math.log(1 / max(base, 1e-6)) < 6:
             continue
         weight = math.log((r.k + 0.5) / (r.n - r.k + 0.5))
         if not r.term.endswith("*"):
@@ -230,8 +236,8 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, flo
     return words, stems
 
 
-def _features(rows: DataFrame, lexicon: tuple[dict, dict], keep: Sequence[str]) -> DataFrame:
-    """The columns of keep, then _x: the features of text as doubles."""
+def _features(rows: DataFrame, lexicon: tuple[dict, dict], keep: Sequence[str], name: str = "_x") -> DataFrame:
+    """The columns of keep, then another: the features of text as doubles."""
 
     def make():
         reader = Reader(*lexicon)
@@ -239,12 +245,12 @@ def _features(rows: DataFrame, lexicon: tuple[dict, dict], keep: Sequence[str])
         def step(batch: pa.RecordBatch) -> dict:
             names = batch.schema.names
             x = [reader.features(t) for t in texts_of(batch.column(names.index("text")))]
-            return {c: batch.column(names.index(c)) for c in keep} | {"_x": pa.array(x, pa.list_(pa.float64()))}
+            return {c: batch.column(names.index(c)) for c in keep} | {name: pa.array(x, pa.list_(pa.float64()))}
 
         return step
 
     kinds = dict(rows.dtypes)
-    return per_batch(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_x array<double>"]), make)
+    return per_batch(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` array<double>"]), make)
 
 
 class Model:
@@ -259,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     rows = sorted(_features(sample.df.select("doc_id", "text", "y"), lexicon, ("doc_id", "y")).collect())
     sample.drop()
     x = np.array([r._x for r in rows], float).reshape(-1, len(FEATURES))
-    return Model(lexicon, logistic(x, np.array([float(r.y > 0) for r in rows])))
+    return Model(lexicon, logistic(x, np.array([float(r.y > 0) for r in rows]), prior=np.array([PRIOR.get(f, 0.0) for f in FEATURES])))
 
 
 def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
@@ -268,11 +274,11 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) ->
     Null texts count as empty; a text without a hit, the empty one included, has the score of the bias.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    w = model.weights
-    z = sum((F.col("_x")[i] * F.lit(float(w[i])) for i in range(len(FEATURES))), F.lit(float(w[-1])))
+    w, x = model.weights, fresh("_x", docs.columns)
+    z = sum((F.col(x)[i] * F.lit(float(w[i])) for i in range(len(FEATURES))), F.lit(float(w[-1])))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     rows = docs.select(*{c: F.col(f"`{c}`") for c in [*keep, "text"]}.values()).withColumn("text", F.col("text").cast("string"))
-    out = _features(rows, model.lexicon, keep).withColumn("score", p).drop("_x")
+    out = _features(rows, model.lexicon, keep, x).withColumn("score", p).drop(x)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -5,8 +5,6 @@ import numpy as np
 from cardloom.llm import toxicity as X
 
 
-
-
 def plain_edits(a, b):
     prev = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -68,3 +66,25 @@ def test_empty(spark):
     docs, labels = fixture(spark)
     model = X.fit(docs.limit(0), labels)
     assert X.score(docs.limit(0), model).count() == 0 and X.score(docs, model).count() == 405
+
+
+def test_quotation_is_told_from_abuse(spark):
+    docs, labels = fixture(spark)
+    model = X.fit(docs, labels)
+    said = [(1, "house garden you are a moron and the water"), (2, 'house garden she wrote "moron" and the water'), (3, "house the word moron is an insult and the water"), (4, "“moron” he quoted"), (5, "walked home moron slowly")]
+    got = {r.doc_id: r for r in X.score(spark.createDataFrame(said * 2, "doc_id long, text string"), model).collect()}
+    assert [got[i].predicted for i in range(1, 6)] == [1, 0, 0, 0, 1] and max(got[i].score for i in (2, 3, 4)) < 0.5 < got[5].score
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark):
+    docs, labels = fixture(spark)
+    model = X.fit(docs, labels)
+    given = spark.createDataFrame([(1, "a moron", 3, 4), (1, "a moron", 3, 4), (2, "water " * 300_000 + "moron", 5, 6), (3, "x" * 1_000_000, 0, 0)], "doc_id long, text string, _x int, _X_ int")
+    out = X.scored(given, model).collect()
+    assert sorted((r.doc_id, r._x, r._X_) for r in out) == [(1, 3, 4), (1, 3, 4), (2, 5, 6), (3, 0, 0)] and len({r.score for r in out if r.doc_id == 1}) == 1
+
+
+def test_mostly_toxic_samples_have_a_lexicon(spark):
+    rows = [(i, f"line of number {i} with moron" if i % 10 else f"line of number {i} is clean") for i in range(600)]
+    model = X.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id long, toxic int"))
+    assert "moron" in model.lexicon[0]
