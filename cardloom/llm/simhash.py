@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, per_batch, texts_of, words_of
+from .common import Saved, per_batch, scratch, texts_of, words_of
 from .components import components
 from .golay import nearby, nearest
 
@@ -117,19 +117,19 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs(doc_id, text, ...); other columns are not read.
 
-    Equal texts meet in one fingerprint before any pair is formed, so a group of copies of any size costs one node,
-    which is named by its least doc_id. component_id is the least doc_id reachable over links. Null or empty texts
-    have fingerprint 0 and link like any other. A row whose doc_id is null gets its component's least doc_id, or null
-    if there is none. doc_ids are below 2^62. An empty table gives no rows.
+    Equal texts meet in one fingerprint before any pair is formed, so a group of copies of any size costs one node.
+    component_id is the least doc_id reachable over links. Null or empty texts have fingerprint 0 and link like any
+    other. A row whose doc_id is null gets its component's least doc_id, or null if there is none. Any long is a
+    doc_id. An empty table gives no rows.
     """
-    found = Saved(fingerprints(docs), "fingerprints").df
-    # A fingerprint whose rows have no doc_id is named by its own upper 62 bits; where two share them, they are linked.
-    unnamed = F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(1 << 62))
-    nodes = Saved(found.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("node")), "nodes").df
-    roots = components(links(nodes)).withColumnRenamed("node", "child")
-    named = nodes.join(roots, nodes["node"] == roots["child"], "left").select(F.col("fp").alias("own"), F.coalesce("root", "node").alias("root"))
-    least = F.when(F.col("root") < (1 << 62), F.col("root")).alias("component_id")
-    return found.join(named, found["fp"] == named["own"]).select("doc_id", "fp", least)
+    with scratch() as kept:
+        found = Saved(fingerprints(docs), "fingerprints")
+        nodes = Saved(found.df.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "nodes").df
+        roots = components(links(nodes.select(F.col("node").alias("fp"), "node"))).withColumnRenamed("node", "child")
+        named = Saved(nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", "least", F.coalesce("root", "node").alias("root")), "named")
+        least = named.df.groupBy("root").agg(F.min("least").alias("component_id"))
+        kept += [found, of := Saved(named.df.select("node", "root").join(least, "root").select(F.col("node").alias("own"), "component_id"), "components")]
+    return found.df.join(of.df, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str = "fp"):

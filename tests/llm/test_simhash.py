@@ -99,3 +99,16 @@ def test_chain_and_star(spark, n):
     star = [(1000, 1001 + i) for i in range(n)]
     got = {tuple(r) for r in components(spark.createDataFrame(chain + star, "u long, v long").repartition(8)).collect()}
     assert got == {(i, 0) for i in range(1, n + 1)} | {(1001 + i, 1000) for i in range(n)}
+
+
+def test_any_long_is_an_id(spark):
+    big = (1 << 63) - 1
+    rows = [(big, "same words here now"), (-big, "same words here now"), (1 << 62, "others are there then"), ((1 << 62) + 5, "others are there then"), (None, "nobody knows this one"), (None, None), (-7, "")]
+    got = sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "a b c " * 400_000), (2, "x" * 1_000_000), (3, "a b c " * 400_000)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
