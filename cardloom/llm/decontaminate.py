@@ -18,8 +18,8 @@ MASKS = ("11111", "110101001", "1010010011", "11001000101")
 SHORT = 11
 #: An overlap is a run of so many aligned words (the whole item if it is shorter) of which this share agrees.
 OVERLAP, SHARE = 13, 0.8
-#: Seeds that may be broadcast; more go through a shuffle. A seed with its item's words counts as 1 KB at most here.
-MOST_BROADCAST = 50_000
+#: Seeds that may be broadcast, and the bytes of the items' words that go with them; more go through a shuffle.
+MOST_BROADCAST, MOST_BYTES = 50_000, 32 << 20
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     seeds = seeds.select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("w").alias("iw"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("w")).filter("doc_id is not null")
     shift = F.col("pos") - F.col("item_pos")
-    if seeds.count() <= MOST_BROADCAST:
+    number, size = seeds.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("iw", " "))), F.lit(0))).first()
+    if number <= MOST_BROADCAST and size <= MOST_BYTES:
         hits = _seeded(texts, masks, parts).join(F.broadcast(seeds), "hash").withColumn("shift", shift)
     else:  # only numbers are shuffled by hash; the words come back for what was hit
         met = _seeded(texts, masks, parts).select("doc_id", "pos", "hash").join(seeds.select("hash", "item_id", "item_pos"), "hash")
