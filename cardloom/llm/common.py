@@ -14,6 +14,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes in an Arrow batch: a worker holds a few batches, whose rows may be of any length.
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -164,6 +165,20 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def frequent(counts: DataFrame, word: str, number: str, most: int, longest: int) -> DataFrame:
+    """Those rows of counts, whose words have so many bytes at most, that lie above some number; ``most`` of them at most."""
+    level = F.floor(F.log2(number) * 8).alias("level")  # some hundred levels at most
+    short = counts.filter(F.octet_length(word) <= longest)
+    sizes = sorted(((r.level, r.n) for r in short.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    return short.limit(0) if least is None else short.filter(level >= least)
+
+
 def texts_of(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each text; null counts as empty."""
     for x in column.cast(pa.large_binary()):

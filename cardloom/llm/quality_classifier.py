@@ -1,14 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Each of a fixed number of word buckets has a sparse random index vector, made from its number alone. A word's vector is
-the sum of the index vectors of the words next to it, over the whole corpus, so it costs one pass and a sum per bucket.
-A document is the mean of its words' vectors and of their squares, and how alike neighbouring vectors are. The network's logits are divided by a temperature
-fitted on rows kept apart from its training.
+Plain words are words, others count by their form. Each of the corpus's frequent words has a vector of its own, the rarer
+ones share those of buckets. A word's index vector is sparse and random, made from the word alone; its context vector is
+the sum of the index vectors of the words next to it, over the whole corpus, so it costs one pass and a sum per word. A
+document is the mean of its words' vectors and of their squares, and how alike neighbouring vectors are. The network's
+logits are divided by a temperature fitted on rows kept apart from its training.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, texts_of
+from .common import Saved, frequent, per_batch, per_partition, scratch, texts_of
 from .learning import labelled, remainder, sigmoid
 
-BUCKETS, DIMS, NONZERO, WINDOW = 8192, 32, 2, 2
+#: Words with a vector of their own, their bytes at most, and buckets of all other words.
+WORDS, LONGEST, BUCKETS = 32_768, 64, 8192
+DIMS, NONZERO, WINDOW = 32, 2, 2
 #: The network is fitted on at most so many labelled documents.
 TRAIN_DOCS = 8000
 HIDDEN = 16
@@ -36,58 +41,89 @@ def shape_of(word: bytes) -> bytes:
     return b"\0" + _REPEAT.sub(rb"\1", re.sub(rb"[0-9]", b"0", form))
 
 
-class Buckets(dict):
-    """word -> bucket, remembered within bounds."""
+class Slots(dict):
+    """word -> row of the vectors, remembered within bounds: its own one, or that of its bucket."""
+
+    def __init__(self, words: dict[bytes, int]):
+        self.words = words
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        b = xxhash.xxh64_intdigest(shape_of(word), 7) % BUCKETS
-        self[word] = b
-        return b
+        form = shape_of(word)
+        at = self.words.get(form)
+        if at is None:
+            at = len(self.words) + xxhash.xxh64_intdigest(form, 7) % BUCKETS
+        self[word] = at
+        return at
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's nonzero entries, from its number alone."""
-    h = np.array([[xxhash.xxh64_intdigest(f"{b}:{k}", 11) for k in range(NONZERO)] for b in range(BUCKETS)], np.uint64)
-    return (h % np.uint64(DIMS)).astype(np.int32), np.where(h >> np.uint64(40) & np.uint64(1), 1, -1).astype(np.int8)
-
+def vocabulary(docs: DataFrame, most: int = WORDS) -> dict[bytes, int]:
+    """The frequent words of all documents, ``most`` of them at most, and their rows."""
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIMS, unit rows (zero for buckets not met), from all documents. Sums are of whole numbers."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        met, shapes = Counter(), {}
 
-    def make():
-        buckets, (place, sign) = Buckets(), index_vectors()
+        def found() -> dict:
+            return {"word": pa.array(list(met), pa.binary()), "n": pa.array(met.values(), pa.int64())}
 
-        def step(batch: pa.RecordBatch) -> dict:
-            total = np.zeros(BUCKETS * DIMS)
-            ids, cut = [], []
+        for batch in batches:
+            raw: Counter = Counter()
             for text in texts_of(batch.column(0)):
-                ids.append(buckets.of(text))
-                cut.append(len(ids[-1]))
+                raw.update(text.split())
+            for word, n in raw.items():
+                met[shapes[word] if word in shapes else shapes.setdefault(word, shape_of(word))] += n
+            if len(met) > 300_000:
+                yield found()
+                met = Counter()
+            if len(shapes) > 300_000:
+                shapes.clear()
+        yield found()
+
+    counts = per_partition(docs.select(F.col("text").cast("string").alias("text")), "word binary, n long", count).groupBy("word").agg(F.sum("n").alias("n"))
+    with scratch():
+        often = frequent(Saved(counts, "words").df, "word", "n", most, LONGEST).select("word").collect()
+    return {w: i for i, w in enumerate(sorted(bytes(r.word) for r in often))}
+
+
+def index_vectors(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of each row, from its word or bucket alone."""
+    names = [b"w" + w for w in words] + [b"b%d" % b for b in range(BUCKETS)]
+    h = np.array([[xxhash.xxh64_intdigest(name, 11 + k) for k in range(NONZERO)] for name in names], np.uint64)
+    return (h % np.uint64(DIMS)).astype(np.int32), np.where(h >> np.uint64(40) & np.uint64(1), 1, -1).astype(np.int8)
+
+
+def word_vectors(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
+    """Rows of words and buckets x DIMS, of unit length (zero for what isn't met), from all documents. Sums are of whole
+    numbers; each task gives one for each of its rows.
+    """
+    shared, rows = docs.sparkSession.sparkContext.broadcast(words), len(words) + BUCKETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        slots, (place, sign) = Slots(shared.value), index_vectors(shared.value)
+        total = np.zeros(rows * DIMS)
+        for batch in batches:
+            ids = [slots.of(text) for text in texts_of(batch.column(0))]
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            doc = np.repeat(np.arange(len(cut)), cut)
+            doc = np.repeat(np.arange(len(ids)), list(map(len, ids)))
             for far in range(1, WINDOW + 1):
                 same = doc[far:] == doc[:-far]
                 left, right = flat[:-far][same], flat[far:][same]
                 for a, b in ((left, right), (right, left)):
                     for k in range(NONZERO):
-                        total += np.bincount(a * DIMS + place[b, k], sign[b, k], BUCKETS * DIMS)
-            total = total.astype(np.int64).reshape(BUCKETS, DIMS)
-            met = np.flatnonzero(total.any(axis=1))
-            return {"bucket": pa.array(met, pa.int32())} | {f"c{d}": pa.array(total[met, d], pa.int64()) for d in range(DIMS)}
-
-        return step
-
-    parts = per_batch(docs.select(F.col("text").cast("string").alias("text")), ", ".join(["bucket int", *(f"c{d} long" for d in range(DIMS))]), make)
-    rows = parts.groupBy("bucket").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIMS))).collect()  # at most BUCKETS rows
-    out = np.zeros((BUCKETS, DIMS))
-    for r in rows:
-        out[r[0]] = r[1:]
+                        total += np.bincount(a * DIMS + place[b, k], sign[b, k], rows * DIMS)
+        whole = total.astype(np.int64).reshape(rows, DIMS)
+        met = np.flatnonzero(whole.any(axis=1))
+        yield {"row": pa.array(met, pa.int32())} | {f"c{d}": pa.array(whole[met, d], pa.int64()) for d in range(DIMS)}
+
+    parts = per_partition(docs.select(F.col("text").cast("string").alias("text")), ", ".join(["row int", *(f"c{d} long" for d in range(DIMS))]), run)
+    sums = parts.groupBy("row").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIMS))).toArrow()  # at most ``rows`` rows
+    out = np.zeros((rows, DIMS))
+    out[sums.column("row").to_numpy()] = np.stack([sums.column(f"c{d}").to_numpy() for d in range(DIMS)], axis=1) if sums.num_rows else 0
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0).astype(np.float32)
 
@@ -150,16 +186,23 @@ class Network:
         return net
 
 
-def _pool(rows: DataFrame, vectors: np.ndarray, last) -> DataFrame:
+class Vectors:
+    """Words and the vectors of their rows."""
+
+    def __init__(self, words: dict[bytes, int], rows: np.ndarray):
+        self.words, self.rows = words, rows
+
+
+def _pool(rows: DataFrame, vectors: Vectors, last) -> DataFrame:
     """doc_id and another column, and what last makes of the pooled vectors."""
     other = rows.columns[2]
-    shared = rows.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIMS floats: 1 MB
+    shared = rows.sparkSession.sparkContext.broadcast(vectors)  # (WORDS + BUCKETS) x DIMS floats at most: 5 MB, and the words: 3 MB
 
     def make():
-        buckets, table = Buckets(), shared.value
+        slots, table = Slots(shared.value.words), shared.value.rows
 
         def step(batch: pa.RecordBatch) -> dict:
-            x = np.array([pooled(buckets.of(t), table) for t in texts_of(batch.column(1))]).reshape(-1, POOLED)
+            x = np.array([pooled(slots.of(t), table) for t in texts_of(batch.column(1))]).reshape(-1, POOLED)
             return {"doc_id": batch.column(0), other: batch.column(2), "out": last(x)}
 
         return step
@@ -172,16 +215,17 @@ def _listed(x: np.ndarray) -> pa.Array:
     return pa.array(list(x), pa.list_(pa.float64()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, Network]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[Vectors, Network]:
     """Word vectors of all documents; the network of at most ``most`` labelled ones outside the held-out third."""
-    vectors = word_vectors(docs)
+    words = vocabulary(docs)
+    vectors = Vectors(words, word_vectors(docs, words))
     rows = _pool(labelled(docs, labels, "quality", most).select("doc_id", "text", "y"), vectors, _listed).collect()
     rows.sort()
     x = np.array([r.out for r in rows], float).reshape(-1, POOLED)
     return vectors, Network.fit(x, np.array([float(r.y > 0) for r in rows]))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, vectors: Vectors, net: Network, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text, ...); other columns are not read.
 
     Null texts count as empty; an empty text's vector is zero. A null doc_id stays null and isn't held out.

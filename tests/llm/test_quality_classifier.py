@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from cardloom.llm import quality_classifier as C
 
@@ -14,18 +16,25 @@ def fixture(spark):
     return docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(450)] + [(None, 1), (3, None)], "doc_id long, quality int")
 
 
-def test_word_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("most", [C.WORDS, 6, 0])  # words of their own, some in buckets, all in buckets
+def test_word_vectors_against_brute_force(spark, most):
     docs, _ = fixture(spark)
-    got = C.word_vectors(docs.repartition(3))
-    place, sign = C.index_vectors()
-    index = np.zeros((C.BUCKETS, C.DIMS))
-    for b in range(C.BUCKETS):
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    count = Counter(C.shape_of(w) for t in texts for w in t.split())
+    words = C.vocabulary(docs.repartition(3), most)
+    assert len(words) <= most and (most < C.WORDS or set(words) == set(count))
+    assert min((count[w] for w in words), default=1 << 60) >= max((n for w, n in count.items() if w not in words), default=0) / 2 ** (1 / 8)
+    got = C.word_vectors(docs.repartition(3), words)
+    place, sign = C.index_vectors(words)
+    index = np.zeros((len(words) + C.BUCKETS, C.DIMS))
+    for b in range(len(index)):
         for k in range(C.NONZERO):
             index[b, place[b, k]] += sign[b, k]
-    want = np.zeros((C.BUCKETS, C.DIMS))
-    buckets = C.Buckets()
-    for r in docs.collect():
-        ids = buckets.of((r.text or "").encode()).tolist()
+    want = np.zeros_like(index)
+    slots = C.Slots(words)
+    assert all(slots[w] == words.get(C.shape_of(w), slots[w]) for t in texts for w in t.split())
+    for t in texts:
+        ids = slots.of(t).tolist()
         for i, b in enumerate(ids):
             for j in range(max(0, i - C.WINDOW), min(len(ids), i + C.WINDOW + 1)):
                 if j != i:
@@ -47,3 +56,11 @@ def test_empty(spark):
     docs, labels = fixture(spark)
     fitted = C.fit(docs.limit(0), labels)
     assert C.score(docs.limit(0), *fitted).count() == 0 and C.score(docs, *fitted).count() == 453
+
+
+def test_long_and_repeated_texts(spark):
+    docs, labels = fixture(spark)
+    fitted = C.fit(docs, labels)
+    rows = [(1, "word " * 400_000), (2, "x" * 1_000_000), (3, "same text here"), (3, "same text here")]
+    got = C.score(spark.createDataFrame(rows, "doc_id long, text string"), *fitted).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 3}) == 1
