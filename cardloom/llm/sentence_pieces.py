@@ -14,6 +14,7 @@ encoded on their own and remembered.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Sequence
@@ -29,7 +30,7 @@ from .common import per_batch, texts_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters matched at once, and entries remembered by a worker.
-CHUNK, REMEMBER, PAIRS = 250_000, 400_000, 1_000_000
+CHUNK, REMEMBER, PAIRS = 250_000, 200_000, 600_000
 _START, _UNKNOWN = -1, -2
 
 
@@ -97,18 +98,42 @@ class Encoder:
         return np.ascontiguousarray(((g[:, :, 0] << 48) | (g[:, :, 1] << 32) | (g[:, :, 2] << 16) | g[:, :, 3]).T)
 
     def merged(self, text: str) -> list[str]:
-        """BPE as defined: again and again join the neighbours whose piece scores best, the leftmost on ties."""
-        parts, pieces = list(text), self.v.pieces
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                hit = pieces.get(parts[i] + parts[i + 1])
-                if hit is not None and (best is None or hit[1] > best):
-                    best, at = hit[1], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """BPE as defined: again and again join the neighbours whose piece scores best, the leftmost on ties.
+
+        What may be joined waits in a heap, so n letters take n log n steps however they tie; a few are looked through.
+        """
+        pieces, n = self.v.pieces, len(text)
+        if n <= 24:
+            parts = list(text)
+            while len(parts) > 1:
+                fits = [(hit[1], -i) for i in range(len(parts) - 1) if (hit := pieces.get(parts[i] + parts[i + 1])) is not None]
+                if not fits:
+                    break
+                at = -max(fits)[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        size, before, after = [1] * n, list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (hit := pieces.get(text[i : j + size[j]])) is not None:
+                heapq.heappush(heap, (-hit[1], i, size[i] + size[j]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, long = heapq.heappop(heap)
+            if not size[i] or after[i] >= n or size[i] + size[after[i]] != long:
+                continue  # one of the two has been joined to another meanwhile
+            j = after[i]
+            size[i], size[j], after[i] = long, 0, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [text[i : i + size[i]] for i in range(n) if size[i]]
 
     def _packed(self, parts: Sequence[str]) -> bytes:
         ids: list[int] = []
@@ -233,7 +258,7 @@ class Encoder:
             cut, new, chars = [], set(), 0
             if len(self.seen) > REMEMBER:
                 self.seen, self.old = {}, self.seen
-            while at < len(texts) and (not cut or chars < 4_000_000):
+            while at < len(texts) and (not cut or chars < 1_000_000):
                 text = texts[at].replace(SPACE.encode(), b" ")
                 cut.append(_SEGMENT.findall(b" " + text) if text else [])
                 new.update(cut[-1])

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -45,3 +46,29 @@ def test_frame(spark, both):
     ids = both[1].encode("Hello world")
     assert got == sorted([(1, ids, len(ids), True)] * 2 + [(2, [], 0, True), (3, [], 0, True), (None, both[1].encode("x"), 1, True)], key=str)
     assert S.encoded(df.limit(0)).count() == 0
+
+
+def test_long_runs_take_little_time(both):
+    v, sp = both
+    began = time.perf_counter()
+    texts = [" " * 100_000 + "word", "\0" * 50_000, " \0" * 30_000, "x" * 300_000, " " * 33 + "a" + " " * 17 + "\n" + " " * 9]
+    for t in texts:
+        (packed,) = S.encoder(v).encode([t.encode()])
+        assert np.frombuffer(packed, np.int32).tolist() == sp.encode(t), repr(t[:20])
+    assert time.perf_counter() - began < 20
+
+
+def test_merging_by_heap_is_merging_by_definition(both):
+    """Again and again the neighbours whose piece scores best, the leftmost on ties."""
+    v, _ = both
+    enc, rng = S.encoder(v), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice([S.SPACE, S.SPACE * 3, "a", "th", "e", "in", "\0", "ß", "00"]) for _ in range(rng.choice([rng.randint(1, 6), rng.randint(7, 40)])))
+        parts = list(text)
+        while True:
+            fits = [(-v.pieces[a + b][1], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in v.pieces]
+            if not fits:
+                break
+            i = min(fits)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert enc.merged(text) == parts, repr(text)
