@@ -55,4 +55,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_sentence_pieces": op4_sentence_pieces, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_lattice_lm": op9_lattice_lm, "op10_url_filter": op10_url_filter}
-ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}
+ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.oracle_sql(), "op7_substring_dedup": substring_dedup.oracle_sql(), "op10_url_filter": url_filter.oracle_sql()}

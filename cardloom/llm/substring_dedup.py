@@ -339,3 +339,16 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
         kept.append(runs)
     out = _beside(rows, runs.df, _cut(with_text), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     return out.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), *out.columns[1:])
+
+
+def oracle_sql() -> str:
+    """The same rows in DuckDB SQL, window by window; windows are compared as words."""
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM d)),
+least AS (SELECT k, min({{'d': doc_id, 's': s}}) AS f FROM win GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, s FROM win JOIN least USING (k) WHERE {{'d': doc_id, 's': s}} > f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WINDOW})) AS p FROM later),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""

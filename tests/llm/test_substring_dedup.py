@@ -51,3 +51,32 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_passage_in_all_documents_and_copies(spark, monkeypatch):
+    rng = random.Random(3)
+    own = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    passage, copy = own(45), " ".join(own(70))
+    rows = [(i, " ".join([*own(rng.randint(0, 40)), *passage, *own(rng.randint(0, 40))])) for i in range(150)]
+    rows += [(1000 + i, copy) for i in range(100)] + [(None, copy)] * 3
+    for shard in (1 << 20, 4000):
+        monkeypatch.setattr(S, "SHARD", shard)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in S.deduplicated(df, False).collect())
+        assert got == brute(rows)
+
+
+def test_long_texts(spark):
+    rows = [(1, "a b c d e " * 60_000), (2, "x" * 1_000_000), (3, " ".join(map(str, range(200_000)))), (4, " ".join(map(str, range(100_000, 100_030))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in S.deduplicated(df, False).collect()}
+    assert got == {1: (300_000, 299_995), 2: (1, 0), 3: (200_000, 0), 4: (30, 30)}
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.001/documents.parquet"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{at}'")
+    want = sorted(duckdb.sql(S.oracle_sql()).fetchall())
+    assert sorted(map(tuple, S.deduplicated(spark.read.parquet(at), False).collect())) == want and sum(r[2] for r in want) > 0
