@@ -11,18 +11,26 @@ def test_names():
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_without_the_corpus_package(monkeypatch):
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "cardloom.llm", "ahocorasick"])
+def test_without_the_corpus_package(monkeypatch, gone):
     import builtins
+    import sys
 
     real = builtins.__import__
 
     def missing(name, *a, **k):
-        if name == "corpus_pipeline" or name.startswith("cardloom.llm"):
-            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        if name.startswith(("corpus_pipeline", "cardloom.llm")):  # as they import nothing else first, whatever is gone
+            raise ModuleNotFoundError(f"No module named {gone!r}", name=gone)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", missing)
-    assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLE)
+    for name in [n for n in sys.modules if n.startswith(("corpus_pipeline", "cardloom.llm"))]:
+        monkeypatch.delitem(sys.modules, name)
+    if gone == "ahocorasick":
+        with pytest.warns(UserWarning, match="ahocorasick"):
+            assert set(entry.queries()) == set(registry.QUERIES)
+    else:
+        assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLE)
 
 
 def plain(v):
