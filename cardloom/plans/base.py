@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..deploy import ship
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -10,7 +16,12 @@ def query(sql: str | None = None):
     """Register a function under its name, with its SQL if there is one."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f
