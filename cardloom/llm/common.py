@@ -4,39 +4,27 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
-import weakref
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, suppress
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import deploy
+
 #: Bytes in an Arrow batch: a worker holds a few batches, whose rows may be of any length.
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: While a step is written: its shuffle files go when it has been.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-_shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once a context, and bound Arrow batches unless the session does so itself."""
-    sc = spark.sparkContext
+    """Give the executors' Python this package, and bound Arrow batches unless the session does so itself."""
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(4 << 20))
-    if sc in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / "cardloom.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    _shipped[sc] = str(out)
+    deploy.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
