@@ -1,33 +1,38 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with one shingle set are one node. MinHash bands propose candidates, which the whole sets then verify. A bucket's
-nodes are first laid beside one of them, so that a large group of near copies costs one pair a node; what is left in a
-bucket in different components is compared in all pairs across these, so no proposed pair goes unverified unless its
-nodes are already together.
+Texts with one shingle set are one node. MinHash bands propose candidates, which the whole sets then verify. Nodes are
+brought together before pairs are formed. At first each node is compared with one other only: of all that share a bucket
+with it, the one whose buckets are fullest. Copies that were changed each in its own way are near to what they were
+copied from, though not to each other, and that original stands in the fullest buckets. So a large group of near copies
+costs a pair a node. Then one node for each component in a bucket is compared with the most popular one of another, as
+long as that brings any together. What is left in a bucket in different components is compared there, block by block,
+and only similar pairs come out: the largest component's nodes with all others, and the others with each other. So no
+proposed pair goes unverified unless its nodes are already together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, per_batch, texts_of, words_of
+from .common import Saved, per_batch, per_partition, scratch, settings, texts_of, words_of
 from .components import components
 
 SEED, WORDS, SIMILARITY = 42, 5, 0.8
 #: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 7e-6 at 0.8.
 BANDS, ROWS = 30, 5
-#: Rounds in which a bucket's nodes are laid beside one of them.
-STARS = 2
-#: Rows in an Arrow batch: pairs carry two texts.
+#: Rounds in which a bucket's components are laid beside one of them, at most.
+STARS = 6
+#: Nodes of a block, and shingles that a block's matrix has at once.
+BLOCK, WIDTH = 256, 1 << 14
+#: Rows in an Arrow batch: pairs carry two sets.
 BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CHUNK = 1 << 11
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,93 +62,169 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """docs' columns doc_id, row_id and text, and the node of each row's shingle set with its bands."""
+    """docs' columns doc_id and row_id, and the node of each row's shingle set with its bands and the set."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t) for t in texts_of(batch.column(2))]
-            nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-            return {"doc_id": batch.column(0), "row_id": batch.column(1), "text": batch.column(2), "node": nodes, "bands": pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
+        def step(batch: pa.RecordBatch):
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                sets = [shingles(t) for t in texts_of(part.column(2))]
+                nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
+                yield {"doc_id": part.column(0), "row_id": part.column(1), "node": nodes, "bands": pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))}
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_id", F.col("text").cast("string").alias("text")), "doc_id long, row_id long, text string, node long, bands array<long>", make)
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_id", F.col("text").cast("string").alias("text")), "doc_id long, row_id long, node long, bands array<long>", make)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) that are similar."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set (sorted hashes, 8 bytes each) of those nodes(row_id, doc_id, node); each node has one row there."""
 
     def make():
-        last: dict[int, np.ndarray] = {}
-
         def step(batch: pa.RecordBatch) -> dict:
-            us, vs, left = [], [], texts_of(batch.column(2))
-            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), left, texts_of(batch.column(3))):
-                if v not in last:
-                    if len(last) > 100:
-                        last.clear()
-                    last[v] = shingles(b)
-                if similar(shingles(a), last[v], similarity):
-                    us.append(u)
-                    vs.append(v)
-            return {"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())}
+            return {"node": batch.column(0), "set": pa.array([shingles(t).tobytes() for t in texts_of(batch.column(1))], pa.binary())}
 
         return step
 
-    of = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
-    return per_batch(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v"), "u long, v long", make)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.col("row_id").alias("r"), F.col("text").cast("string").alias("text"))
+    own = nodes.select("node", F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("row_id").alias("r"))
+    return per_batch(texts.join(own, ["d", "r"]).dropDuplicates(["node"]).select("node", "text"), "node long, set binary", make)
+
+
+def _set(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.uint64)
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that are similar."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            good = np.array([similar(_set(a), _set(b), similarity) for a, b in zip(batch.column(2), batch.column(3))], bool)
+            return {"u": batch.column(0).to_numpy()[good], "v": batch.column(1).to_numpy()[good]}
+
+        return step
+
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
+    return per_batch(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "set_u", "set_v"), "u long, v long", make)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    size = list(map(len, sets))
+    kinds, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), size), n[at] > 1  # what one set has alone is in no overlap
+    number = np.cumsum(n > 1) - 1
+    row, column = row[common], number[at[common]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((n > 1).sum()), WIDTH):
+        here = (column >= low) & (column < low + WIDTH)
+        x = np.zeros((len(sets), int(column[here].max()) - low + 1 if here.any() else 0), np.float32)
+        x[row[here], column[here] - low] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _within(blocks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different components that are similar, of each of blocks' groups (group long, node, root, set)."""
+
+    def pairs(held: list[tuple[int, int, np.ndarray]]) -> dict:
+        node, root = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        both, size = overlaps([h[2] for h in held]), np.array([len(h[2]) for h in held])
+        good = (both >= similarity * (size[:, None] + size - both) - 1e-9) & (root[:, None] < root)
+        u, v = np.nonzero(good)
+        return {"u": node[u], "v": node[v]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, held = None, []
+        for batch in batches:
+            for group, node, root, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if group != now and held:
+                    yield pairs(held)
+                    held = []
+                now = group
+                held.append((node, root, _set(raw).copy()))
+        if held:
+            yield pairs(held)
+
+    dealt = blocks.repartition("group").sortWithinPartitions("group").select("group", "node", "root", "set")
+    return per_partition(dealt, "u long, v long", run)
+
+
+def _blocks(every: DataFrame) -> DataFrame:
+    """group, node, root for every(key, node, root): the groups are pairs of blocks of a bucket, of BLOCK nodes or so each.
+
+    Blocks of the bucket's largest component are paired with those of the others only.
+    """
+    sizes = Saved(every.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "sizes").df
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = most.select("key", F.col("most.root").alias("main"), parts(F.col("most.n")).alias("mains"), parts(F.col("all") - F.col("most.n")).alias("rests"))
+    own = every.join(shape, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    own = own.withColumn("b", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    rests = F.sequence(F.lit(0), F.col("rests") - 1)
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("b").alias("i"), (-1 - j).alias("j")))
+    among = F.transform(rests, lambda j: F.struct(F.least("b", j).alias("i"), F.greatest("b", j).alias("j")))
+    met = F.when(F.col("is_main"), F.transform(rests, lambda i: F.struct(i.alias("i"), (-1 - F.col("b")).alias("j")))).otherwise(F.concat(among, with_main))
+    return own.select("key", "node", "root", F.explode(met).alias("at")).select(F.xxhash64("key", "at.i", "at.j").alias("group"), "node", "root")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_id, root for every row of docs(doc_id, text, ...): rows of one root are linked by near copies.
 
-    All but a last join is run at once, in small batches; row_id is docs' own, or else a hash of the text; it tells apart rows that share a doc_id. Null texts and those without words are one node. An empty table gives no rows.
+    It is run at once, in small batches. row_id is docs' own, or else a hash of the text; it tells apart rows that share a
+    doc_id. Null texts and those without words are one node. An empty table gives no rows.
     """
-    with _small_batches(docs.sparkSession):
-        return _near_copies(docs, similarity)
+    with settings(docs.sparkSession, {_ROWS: str(BATCH)}), scratch() as kept:
+        kept.append(out := Saved(_near_copies(docs, similarity), "near-copies"))
+    return out.df
 
 
 def _near_copies(docs: DataFrame, similarity: float) -> DataFrame:
-    marked = Saved(_marked(docs if "row_id" in docs.columns else docs.withColumn("row_id", F.xxhash64("text"))), "marked")
-    rows = Saved(marked.df.select("doc_id", "row_id", "node"), "rows").df
-    nodes = Saved(marked.df.groupBy("node").agg(F.first("bands").alias("bands")), "nodes").df
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = Saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared").df
-    live = Saved(keyed.join(shared, "key"), "buckets").df
-    # One text of each node that meets another.
-    met = live.select("node").distinct()
-    texts = Saved(marked.df.select("node", "text").join(met, "node").groupBy("node").agg(F.first("text").alias("text")), "texts").df
-    marked.drop()
+    docs = docs if "row_id" in docs.columns else docs.withColumn("row_id", F.xxhash64("text"))
+    rows = Saved(_marked(docs), "marked").df
+    nodes = Saved(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "row_id")).alias("at")), "nodes").df
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    for k in range(STARS + 1):
-        if live.isEmpty():
-            break
-        if k < STARS:
-            rep = F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"]
-            reps = Saved(live.groupBy("key").agg(rep.alias("v")), "reps").df
-            pairs = live.select("key", F.col("node").alias("u")).join(reps, "key").filter("u <> v")
-        else:
-            a = live.select("key", F.col("node").alias("u"), F.col("root").alias("a"))
-            pairs = a.join(a.toDF("key", "v", "b"), "key").filter("a < b")
-        pairs = Saved(pairs.select("u", "v").distinct(), "pairs").df
-        links = links.unionAll(Saved(_verified(pairs, texts, similarity), "similar").df)
+
+    def linked(found: DataFrame) -> bool:
+        """Bring together what the pairs (u, v) link; whether there are any."""
+        nonlocal links, roots
+        found = Saved(found, "similar").df
+        if found.isEmpty():
+            return False
+        links = links.unionAll(found)
         roots = Saved(components(links), "roots").df
-        own = roots.select(F.col("node").alias("child"), F.col("root").alias("top"))
-        named = live.select("key", "node").join(own, F.col("node") == F.col("child"), "left").select("key", "node", F.coalesce("top", "node").alias("root"))
-        # A bucket within one component has no more to give.
-        split = Saved(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "split").df
-        live = Saved(named.join(split, "key"), "buckets").df
+        return True
+
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = Saved(keyed.join(sizes, "key"), "shared").df
+    popular = shared.groupBy("node").agg(F.sum(F.log2("n")).alias("p"))
+    shared = Saved(shared.drop("n").join(popular, "node").select("key", "node", F.struct("p", "node").alias("rank")), "ranked").df
+    meeting = shared.select("node").distinct().join(nodes, "node").select("node", "at.*")
+    sets = Saved(_sets(docs, meeting), "sets").df  # of nodes that share a bucket with another
+
+    def in_buckets() -> DataFrame:
+        """key, root, rank: the most popular node of each component in a bucket, of buckets with more components than one."""
+        own = roots.withColumnRenamed("node", "child")
+        one = shared.join(own, F.col("node") == F.col("child"), "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.max("rank").alias("rank"))
+        one = Saved(one, "in-buckets").df
+        split = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("best")).filter("n > 1").drop("n")
+        return Saved(one.join(split, "key"), "split").df
+
+    centres = shared.groupBy("key").agg(F.max("rank").alias("best"))
+    beside = shared.join(centres, "key").filter("best.node <> node").groupBy("node").agg(F.max("best").alias("best"))
+    linked(_verified(beside.select(F.col("node").alias("u"), F.col("best.node").alias("v")), sets, similarity))
+    left = in_buckets()
+    for _ in range(STARS):
+        one = left.filter("rank <> best").groupBy(F.col("rank.node").alias("u")).agg(F.max("best").alias("best"))
+        if left.isEmpty() or not linked(_verified(one.select("u", F.col("best.node").alias("v")), sets, similarity)):
+            break
+        left = in_buckets()
+    if not left.isEmpty():
+        own = roots.withColumnRenamed("node", "child")
+        every = shared.join(left.select("key").distinct(), "key").join(own, F.col("node") == F.col("child"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        linked(_within(_blocks(Saved(every, "unsettled").df).join(sets, "node"), similarity).distinct())
     own = roots.withColumnRenamed("node", "child")
     return rows.join(own, F.col("node") == F.col("child"), "left").select("doc_id", "row_id", F.coalesce("root", "node").alias("root"))
