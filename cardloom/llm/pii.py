@@ -29,6 +29,8 @@ COLUMNS = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spa
 #: Words on each side of an entity, texts with a term that weigh as much as what is known without it, and the share of
 #: the entity's information that a term may not reach.
 WINDOW, SUPPORT, DISCLOSURE = 5, 3, 0.75
+#: One text of so many is read first, to settle what is frequent.
+PART = 8
 #: Disclosing terms that may be broadcast, and their bytes; more are joined. Likewise hashes of repeated texts.
 MOST_BROADCAST, MOST_BYTES = 100_000, 8 << 20
 _BITS = 1 << 20
@@ -189,34 +191,44 @@ def _disclosing(docs: DataFrame, support: int, threshold: float) -> DataFrame:
     terms = near.select("term").distinct()
     if terms.isEmpty():
         return terms.select("term", F.lit(0.0).alias("disclosure")).limit(0)
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
+    # A text's copies share the count of one among them.
+    texts = _texts(docs)
+    ids = Saved(texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")), "text_ids").df
+    copies = Saved(ids.filter("n > 1"), "copies").df
+    weighed = texts.join(F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies, "text_id", "left").select("text", "text_id", (1.0 / F.coalesce("n", F.lit(1))).alias("weight"))
+    prior = F.col("n_entity") / F.lit(float(ids.count()))
+    # Of more texts than this, a term says too little of the entity. Most words are in more already among a part of the texts, which
+    # settles them: they needn't be counted in all.
+    most = F.when(prior < 1, (F.col("c") + support * prior) * F.pow(prior, F.lit(threshold - 1)) - support).otherwise(-1.0)
+    near = Saved(near.withColumn("most", most + 1e-6).filter("most >= c"), "possible").df
+    terms = near.groupBy("term").agg(F.max("most").alias("most"))
+    part = _counts(weighed.filter(F.pmod("text_id", F.lit(PART)) == 0), terms).withColumnRenamed("n_term", "seen")
+    terms = Saved(terms.join(part, "term", "left").filter("coalesce(seen, 0) <= most").select("term"), "open").df
+    # A term that only touches its entity is in no text as a word, so c may exceed n_term.
+    given = (F.col("c") + support * prior) / (F.greatest("c", "n_term") + support)
+    share = F.when(prior < 1, F.log2(given / prior) / -F.log2(prior)).otherwise(0.0)
+    counted = near.join(terms, "term", "left_semi").join(_counts(weighed, terms), "term")
+    return counted.withColumn("share", share).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("disclosure"))
+
+
+def _counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term: in how many of texts(text, weight) each of the terms is a word; others that share its bit may come along."""
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table, asked, met = bits.value, {}, {}
         for batch in batches:
             for raw, weight in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 for t in {asked[w] if w in asked else asked.setdefault(w, _term_of(w, table)) for w in set(words_of(raw))} - {""}:
-                    met[t] = met.get(t, 0) + weight
+                    met[t] = met.get(t, 0.0) + weight
                 if len(asked) > 300_000:
                     asked.clear()
             if len(met) > 300_000:
-                yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
+                yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.float64())}
                 met = {}
-        yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.int64())}
+        yield {"term": pa.array(met, pa.string()), "n": pa.array(met.values(), pa.float64())}
 
-    # Every row counts 1; each text that is repeated then takes back what its copies have counted.
-    texts = _texts(docs)
-    ids = Saved(texts.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")), "text_ids").df
-    copies = Saved(ids.filter("n > 1").select("text_id", (1 - F.col("n")).alias("weight")), "copies").df
-    again = texts.join(F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies, "text_id")
-    again = again.groupBy("text_id", "weight").agg(F.first("text").alias("text")).select("text", "weight")
-    weighed = per_partition(texts.select("text", F.lit(1).cast("long").alias("weight")), "term string, n long", count).unionAll(per_partition(again, "term string, n long", count))
-    counts = weighed.groupBy("term").agg(F.sum("n").alias("n_term"))
-    prior = F.col("n_entity") / F.lit(float(ids.count()))
-    # A term that only touches its entity is in no text as a word, so c may exceed n_term.
-    given = (F.col("c") + support * prior) / (F.greatest("c", "n_term") + support)
-    share = F.when(prior < 1, F.log2(given / prior) / -F.log2(prior)).otherwise(0.0)
-    return near.join(counts, "term").withColumn("share", share).filter(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("disclosure"))
+    return per_partition(texts.select("text", "weight"), "term string, n double", count).groupBy("term").agg(F.round(F.sum("n")).alias("n_term"))
 
 
 def _spans(raw: bytes, text: str, terms, asked: dict[bytes, bool]) -> list[Span]:
