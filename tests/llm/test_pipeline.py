@@ -1,8 +1,11 @@
 import random
 
 import corpus_pipeline as P
+import pytest
 import sentencepiece
 
+from cardloom.llm import common
+from cardloom.llm import queries as Q
 from cardloom.llm import sentence_pieces as S
 
 
@@ -43,3 +46,72 @@ def test_stages(spark, tmp_path):
     assert all(list(r.ids) == sp.encode(masked[d].text or "") and r.round_trip for d, r in kept["sentence_pieces"].items())
     final = {r.doc_id: list(r.ids) for r in P.run(spark, str(tmp_path)).collect()}
     assert final == {d: list(r.ids) for d, r in kept["sentence_pieces"].items()}
+
+
+def left(spark):
+    """What lies in this application's shared folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(fs.listStatus(at)) if fs.exists(at) else 0
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    spark.createDataFrame([(1, "http://example.com/en/x", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    common.release()
+    for name, query in [*Q.QUERIES.items(), ("pipeline", P.run)]:
+        df = query(spark, str(tmp_path))
+        assert left(spark) <= 2, name  # only what the result itself reads
+        df.count()
+        common.release()
+        assert left(spark) == 0, name
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        applicationId = "a"
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    Context.master = "local-cluster[2,1,1000]"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_shared_ids_and_clashing_columns(spark, tmp_path):
+    docs, texts = fixture(spark, str(tmp_path))
+    item = next(r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect())
+    more = [(1, "another text of the same id " * 3), (7, f"{item} leaks here"), (7, texts[7]), (900, "write to a@b.example.org now")]
+    names = "score int, predicted int, spans string, clean_text string, _x int, _row_id int, own_id int, root int, n_term string"
+    rows = [(d, t, "en", "s", 0) for d, t in [*texts.items(), *more]]
+    given = spark.createDataFrame([(*r, i, 1, f"s{i}", "c", 2, 3, 4, 5, "n") for i, r in enumerate(rows)], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    by_row = {r.score: r for r in given.collect()}
+    now = given
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == given.columns
+        now = spark.createDataFrame(out.collect(), out.schema)
+    kept = {r.score: r for r in now.collect()}
+    for k, r in kept.items():
+        assert all(r[c] == by_row[k][c] for c in given.columns if c not in ("text", "n_chars"))
+    n = len(texts)
+    assert n in kept and 1 in kept  # both rows of doc_id 1
+    assert n + 1 not in kept and (n + 2 in kept) != (7 in kept)  # the leak goes, and one of the two equal rows
+    assert kept[n + 3].text == "write to <EMAIL> now"
+
+
+def test_empty_tables(spark, tmp_path):
+    docs, _ = fixture(spark, str(tmp_path / "full"))
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    now = docs
+    for _, stage in P.STAGES:  # no labels and no benchmark: nothing is toxic or a leak
+        now = stage(spark, now, f"{tmp_path}/none")
+    assert now.count() == docs.count() - 3
