@@ -29,8 +29,8 @@ from .common import per_batch, texts_of
 #: The default vocabulary file; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters matched at once, and entries remembered by a worker.
-CHUNK, REMEMBER, PAIRS = 250_000, 200_000, 600_000
+#: Characters matched at once, and segments and pairs of pieces remembered by a worker: some 300 MB.
+CHUNK, REMEMBER, PAIRS = 250_000, 400_000, 1_000_000
 _START, _UNKNOWN = -1, -2
 
 
@@ -63,14 +63,14 @@ class Vocabulary:
 
 
 _SEGMENT = re.compile(rb"\n| *[^ \n]+| +")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 
 
 class Encoder:
     """Segments to ids; one for each vocabulary and process, so that tasks share what it remembers."""
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, remember: int = REMEMBER, pairs: int = PAIRS):
+        self.v, self.remember, self.pairs = v, remember, pairs
         self.strings = sorted(v.pieces)
         self.ids = [v.pieces[p][0] for p in self.strings]
         self.string = {v.pieces[p][0]: p for p in self.strings}
@@ -187,7 +187,7 @@ class Encoder:
         key = a << 32 | b
         ok = self.follows.get(key)
         if ok is None:
-            if len(self.follows) > PAIRS:
+            if len(self.follows) > self.pairs:
                 self.follows.clear()
             parts = [self.string[b]] if a == _START else [self.string[a], self.string[b]]
             ok = self.follows[key] = self.merged("".join(parts)) == parts
@@ -256,7 +256,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             cut, new, chars = [], set(), 0
-            if len(self.seen) > REMEMBER:
+            if len(self.seen) > self.remember:
                 self.seen, self.old = {}, self.seen
             while at < len(texts) and (not cut or chars < 1_000_000):
                 text = texts[at].replace(SPACE.encode(), b" ")
@@ -272,10 +272,11 @@ class Encoder:
         return out
 
 
-def encoder(v: Vocabulary) -> Encoder:
-    if v.key not in _encoders:
-        _encoders[v.key] = Encoder(v)
-    return _encoders[v.key]
+def encoder(v: Vocabulary, remember: int = REMEMBER, pairs: int = PAIRS) -> Encoder:
+    key = v.key, remember, pairs
+    if key not in _encoders:
+        _encoders[key] = Encoder(v, remember, pairs)
+    return _encoders[key]
 
 
 def decode(v: Vocabulary, ids: Sequence[int]) -> bytes:
@@ -284,18 +285,19 @@ def decode(v: Vocabulary, ids: Sequence[int]) -> bytes:
     return raw[1:] if raw[:1] == b" " else raw
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: Sequence[str] = (), remember: int = REMEMBER, pairs: int = PAIRS) -> DataFrame:
     """doc_id, the columns of keep, ids, n_tokens, ids_sha256 and round_trip for every row of docs(doc_id, text, ...).
 
     ids_sha256 is of the ids as little-endian 32-bit numbers. round_trip says that decoding gives the text again; it
-    fails only for texts with U+2581, which the model takes for a space. Null and empty texts have no ids.
+    fails only for texts with U+2581, which the model takes for a space. Null and empty texts have no ids. remember and
+    pairs bound a worker's memories; less of them costs time only.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary or Vocabulary.read())  # the vocabulary's size, not the data's
 
     def make():
         v = shared.value
-        enc = encoder(v)
+        enc = encoder(v, remember, pairs)
 
         def step(batch: pa.RecordBatch):
             for i in range(0, batch.num_rows, 1000):
