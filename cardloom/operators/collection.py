@@ -30,19 +30,32 @@ def pockets(collections: DataFrame) -> DataFrame:
     return every.select("collector", "binder_id", "binder_type", "page", "slot", F.col("i.card_id").alias("card_id"), default("variant", "normal"), default("condition", "NM"), default("keep", False))
 
 
+def _wanted(cards: DataFrame) -> DataFrame:
+    return cards.filter((F.col("number") <= F.col("printed_total")) | F.col("include_secrets"))
+
+
 def set_gaps(binders: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame:
     """collector, binder_id, card_id, number, owned_elsewhere: what a set binder lacks of its set.
 
     binders(collector, binder_id, set_id, include_secrets) are set binders; sets(set_id, number, card_id, printed_total)
     their cards. Cards above the printed total are secrets. owned_elsewhere lists where other copies are.
     """
-    wanted = binders.join(sets, "set_id").filter((F.col("number") <= F.col("printed_total")) | F.col("include_secrets"))
+    wanted = _wanted(binders.join(sets, "set_id"))
     place = F.coalesce(F.col("binder_id").cast("string"), F.lit("loose"))
     placed = items.groupBy("collector", "card_id").agg(F.array_sort(F.collect_set(place)).alias("owned_elsewhere"), F.collect_set("binder_id").alias("here"))
     out = wanted.join(placed, ["collector", "card_id"], "left").filter(F.col("here").isNull() | ~F.array_contains("here", F.col("binder_id")))
     return out.select("collector", "binder_id", "card_id", "number", F.coalesce("owned_elsewhere", F.array().cast("array<string>")).alias("owned_elsewhere"))
 
 
+def gaps_among(cards: DataFrame, binders: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Those set_gaps that are in cards(collector, card_id), without owned_elsewhere; no other gap is formed."""
+    key = ["collector", "set_id"]
+    sought = cards.join(sets, "card_id").join(binders.select(*key), key, "left_semi").distinct()
+    wanted = _wanted(binders.join(sought, key)).select("collector", "binder_id", "card_id", "number")
+    held = items.join(wanted.select("binder_id").distinct(), "binder_id", "left_semi").select("collector", "binder_id", "card_id")
+    return wanted.join(held, ["collector", "binder_id", "card_id"], "left_anti")
+
+
 def open_wishes(wishes: DataFrame, items: DataFrame) -> DataFrame:
     """Wishes with an owned count below their quantity; null variant or minimum condition accepts any copy, null quantity is 1."""
     wishes = wishes.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
@@ -191,8 +204,7 @@ def profile(items: DataFrame, wishes: DataFrame, gaps: DataFrame) -> tuple[DataF
 
     Wishes(collector, ordinal, ...) come before gaps, which are wished for once, in any form, as needs.
     """
-    sorting = ("_source", "_place", "_binder", "_slot")
-    listed = Window.partitionBy("collector").orderBy(*sorting)
+    listed = Window.partitionBy("collector").orderBy("_source", "_place", "_binder", "_slot")
     place = F.row_number().over(listed).cast("long").alias("ordinal")
     order = lambda source, at, binder, slot: (F.lit(source).alias("_source"), at.cast("long").alias("_place"), binder.alias("_binder"), slot.cast("long").alias("_slot"))
     null, zero = F.lit(None).cast("string"), F.lit(0)
@@ -200,8 +212,13 @@ def profile(items: DataFrame, wishes: DataFrame, gaps: DataFrame) -> tuple[DataF
     own = open_wishes(wishes, items).select(*columns, *order(0, F.col("ordinal"), F.lit(None).cast(gaps.schema["binder_id"].dataType), zero))
     needed = gaps.select("collector", "card_id", null.alias("variant"), null.alias("min_condition"), F.lit("need").alias("priority"), F.lit(1).alias("quantity"), *order(1, zero, F.col("binder_id"), F.col("number")))
     wants = own.unionByName(needed).select(*columns, place)
-    free = tradeables(items, wants.filter("priority = 'need'")).select("*", *order(0, zero, F.col("binder_id"), F.col("page").cast("long") * 1_000_000 + F.col("slot")))
-    return free.select("collector", "card_id", place, "variant", "condition"), wants
+    return _places(tradeables(items, wants.filter("priority = 'need'"))), wants
+
+
+def _places(free: DataFrame) -> DataFrame:
+    """collector, card_id, ordinal, variant, condition of tradeables, in the order of binders, pages and slots."""
+    listed = Window.partitionBy("collector").orderBy("binder_id", F.col("page").cast("long") * 1_000_000 + F.col("slot"))
+    return free.select("collector", "card_id", F.row_number().over(listed).cast("long").alias("ordinal"), "variant", "condition")
 
 
 def match(pairs: DataFrame, free: DataFrame, wants: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,6 +241,24 @@ def match(pairs: DataFrame, free: DataFrame, wants: DataFrame, prices: DataFrame
     return good, near.select("pair", nth.alias("nth"), "card_id", "variant", "condition", "wanted_variant", "wanted_min_condition")
 
 
+def match_collections(pairs: DataFrame, items: DataFrame, wishes: DataFrame, binders: DataFrame, sets: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """match of the pairs' profiles, straight from what they hold; wishes, binders and sets as in profile and set_gaps.
+
+    A collector lacks far more cards than any partner offers. So gaps are only sought among what the collectors of a
+    pair offer, and of that only what the other one wishes for gets a place in a list; the order is that of whole lists.
+    """
+    both = pairs.select(F.col("mine").alias("collector"), F.col("theirs").alias("partner"))
+    both = both.unionAll(both.select(F.col("partner").alias("collector"), F.col("collector").alias("partner"))).distinct()
+    offered = items.filter((F.col("binder_type") == "trade") & ~F.col("keep"))
+    cards = offered.select("collector", "card_id").join(both, "collector").select(F.explode(F.array("collector", "partner")).alias("collector"), "card_id")
+    gaps = gaps_among(cards, binders, sets, items)
+    wished = items.join(wishes.select("card_id").distinct(), "card_id", "left_semi")
+    wants = profile(wished, wishes, gaps)[1]
+    asked = wants.select(F.col("collector").alias("partner"), "card_id").join(both, "partner").select("collector", "card_id").distinct()
+    free = _places(tradeables(offered.join(asked, ["collector", "card_id"], "left_semi"), wants.filter("priority = 'need'")))
+    return match(pairs, free, wants, prices)
+
+
 def _with_plan(rows: DataFrame, plan: str) -> DataFrame:
     """rows with the fields of their plan as p; an unknown plan raises when the result is read."""
     known = rows.sparkSession.createDataFrame(PLANS, PLAN_FIELDS).select(F.col("plan").alias("_plan"), F.struct("*").alias("p"))

@@ -54,12 +54,11 @@ def q_match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _match(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each even customer trades with the next one; a card's price is its own, and more in the variant R."""
     items, wishes = roles.items(spark, sf_dir), roles.manual_wishes(spark, sf_dir).withColumn("ordinal", F.lit(0))
-    gaps = collection.set_gaps(roles.set_binders(spark, sf_dir), roles.sets(spark, sf_dir), items)
     c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("pair"), F.col("c_custkey").alias("mine"), (F.col("c_custkey") + 1).alias("theirs"))
     part = table(spark, sf_dir, "part").filter("p_partkey % 4 <> 0")
     key = F.col("p_partkey").cast("string")
     prices = part.select(key.alias("key"), F.col("p_retailprice").alias("price")).unionAll(part.filter("p_partkey % 3 = 0").select(F.concat(key, F.lit("|R")), F.col("p_retailprice") + 1000))
-    return collection.match(c, *collection.profile(items, wishes, gaps), prices)
+    return collection.match_collections(c, items, wishes, roles.set_binders(spark, sf_dir), roles.sets(spark, sf_dir), prices)
 
 
 _PROFILE = """
