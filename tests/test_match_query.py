@@ -27,7 +27,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["q_match"])
+@pytest.mark.parametrize("name", ["q_match", "q_near_misses"])
 def test_gaps_are_only_sought_among_what_is_offered(spark, tmp_path, name):
     tables(spark, tmp_path)
     sf = str(tmp_path)
