@@ -108,3 +108,32 @@ def test_what_stays_apart_from_the_original(spark, monkeypatch):
     for i in range(60):
         want.setdefault(top(i), set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 1
+
+
+def test_fingerprints_and_codewords():
+    rng = np.random.default_rng(4)
+    own = np.unique(rng.integers(0, 1 << 63, 501).astype(np.uint64))
+    bits = [N._mixed(own * m) for m in N._VOTES]
+    want = [sum(int(2 * int((bits[(23 * k + i) // 64] >> np.uint64((23 * k + i) % 64) & np.uint64(1)).sum()) > len(own)) << i for i in range(23)) for k in range(N.FUZZY)]
+    assert N.fingerprint(own).tolist() == want
+    word = np.array(want, np.uint32)
+    other = word ^ (np.uint32(1) << rng.integers(0, 23, N.FUZZY).astype(np.uint32))
+    anchor = np.arange(N.FUZZY)
+    met = lambda a, w: set(zip(*map(np.ndarray.tolist, N.keys(a, w))))
+    assert {k for k, _ in met(anchor, word) & met(anchor, other)} == set(range(N.FUZZY))  # a bit's difference loses no pair
+    assert not {k for _, k in met(anchor, word)} & {k for _, k in met(anchor + 100, word)}
+
+
+def test_keys_meet_at_the_least_similarity():
+    """Sets at 0.8 share a key, however small; sets with a few shingles in common don't."""
+    rng = np.random.default_rng(5)
+
+    def meet(common, a, b):
+        x = np.unique(rng.integers(0, 1 << 63, common + a + b).astype(np.uint64))
+        rng.shuffle(x)
+        pair = np.unique(x[: common + a]), np.unique(np.concatenate([x[:common], x[common + a :]]))
+        one, two = (set(N.keys(np.array(N.anchors(s)), N.fingerprint(s))[1].tolist()) for s in pair)
+        return bool(one & two)
+
+    assert all(meet(*sizes) for sizes in ((4, 1, 0), (8, 1, 1), (80, 10, 10), (400, 100, 0)) for _ in range(100))
+    assert sum(meet(9, 91, 91) for _ in range(100)) <= 2
