@@ -110,6 +110,31 @@ def test_what_stays_apart_from_the_original(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 1
 
 
+def test_nodes_that_meet_in_many_buckets_are_dealt_out_once(spark, monkeypatch):
+    """Copies of one text, most of them changed too much to be near it, share dozens of buckets with each other."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(119):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 6), rng.choice([2, 4, 4, 5])):
+            words[at] = f"e{at}x{rng.randrange(2)}"
+        texts.append(" ".join(words))
+    dealt, blocks = [], N._blocks
+
+    def counted(every):
+        out = blocks(every)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_blocks", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in N.near_copies(df).collect()}
+    sets = [N.shingles(t.encode()) for t in texts]
+    assert all(got[i] == got[j] for i in range(120) for j in range(i) if N.similar(sets[i], sets[j])) and len(set(got.values())) > 1
+    assert sum(dealt) < 4 * len(texts)
+
+
 def test_fingerprints_and_codewords():
     rng = np.random.default_rng(4)
     own = np.unique(rng.integers(0, 1 << 63, 501).astype(np.uint64))
