@@ -241,6 +241,17 @@ def match(pairs: DataFrame, free: DataFrame, wants: DataFrame, prices: DataFrame
     return good, near.select("pair", nth.alias("nth"), "card_id", "variant", "condition", "wanted_variant", "wanted_min_condition")
 
 
+#: Different cards that are named in a filter, which the sources of items can apply themselves; more are joined.
+NAMED = 10_000
+
+
+def _of_cards(items: DataFrame, cards: DataFrame) -> DataFrame:
+    """items of the cards in cards(card_id); where these are few, nothing else is moved to find them."""
+    ids = cards.select("card_id").filter("card_id is not null").distinct()
+    few = ids.limit(NAMED + 1).collect()
+    return items.filter(F.col("card_id").isin([r.card_id for r in few])) if len(few) <= NAMED else items.join(ids, "card_id", "left_semi")
+
+
 def match_collections(pairs: DataFrame, items: DataFrame, wishes: DataFrame, binders: DataFrame, sets: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """match of the pairs' profiles, straight from what they hold; wishes, binders and sets as in profile and set_gaps.
 
@@ -252,8 +263,7 @@ def match_collections(pairs: DataFrame, items: DataFrame, wishes: DataFrame, bin
     offered = items.filter((F.col("binder_type") == "trade") & ~F.col("keep"))
     cards = offered.select("collector", "card_id").join(both, "collector").select(F.explode(F.array("collector", "partner")).alias("collector"), "card_id")
     gaps = gaps_among(cards, binders, sets, items)
-    wished = items.join(wishes.select("card_id").distinct(), "card_id", "left_semi")
-    wants = profile(wished, wishes, gaps)[1]
+    wants = profile(_of_cards(items, wishes), wishes, gaps)[1]
     asked = wants.select(F.col("collector").alias("partner"), "card_id").join(both, "partner").select("collector", "card_id").distinct()
     free = _places(tradeables(offered.join(asked, ["collector", "card_id"], "left_semi"), wants.filter("priority = 'need'")))
     return match(pairs, free, wants, prices)

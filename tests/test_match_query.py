@@ -42,6 +42,31 @@ def test_gaps_are_only_sought_among_what_is_offered(spark, tmp_path, name):
     assert sorted(str([r[c] for c in rel.columns]) for r in rows) == sorted(str(list(r)) for r in rel.fetchall()) and rows
 
 
+@pytest.mark.parametrize("name", ["q_match", "q_near_misses"])
+def test_pockets_that_are_neither_offered_nor_wished_for_are_not_moved(spark, tmp_path, name):
+    tables(spark, tmp_path)
+    sf = str(tmp_path)
+    collected = spark.range(20_000).selectExpr("3 * (id % 480) + 2 as l_orderkey", "100 + id % 2000 as l_partkey", "cast(id % 5 as int) as l_linenumber", "'R' as l_returnflag", "'O' as l_linestatus")
+    collected.write.mode("append").parquet(f"{sf}/lineitem.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        rows = registry.QUERIES[name](spark, sf).collect()
+        assert shuffled(spark) - before < 20_000 and rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_items_of_cards(spark, monkeypatch):
+    items = spark.createDataFrame([(i, i % 7 if i % 8 else None) for i in range(50)], "binder_id long, card_id long")
+    cards = spark.createDataFrame([(2,), (2,), (5,), (None,), (9,)], "card_id long")
+    for few in (3, 2, 0):
+        monkeypatch.setattr(C, "NAMED", few)
+        assert sorted(r.binder_id for r in C._of_cards(items, cards).collect()) == [i for i in range(50) if i % 8 and i % 7 in (2, 5)]
+    assert C._of_cards(items, cards.limit(0)).count() == 0
+
+
 def test_gaps_among_cards(spark, tmp_path):
     tables(spark, tmp_path)
     binders, sets, items = roles.set_binders(spark, str(tmp_path)), roles.sets(spark, str(tmp_path)), roles.items(spark, str(tmp_path))
