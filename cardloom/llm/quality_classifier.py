@@ -9,8 +9,6 @@ logits are divided by a temperature fitted on rows kept apart from its training.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,26 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, frequent, per_batch, per_partition, scratch, texts_of
+from .common import Saved, frequent, per_batch, per_partition, scratch
 from .learning import labelled, remainder, sigmoid
+from .word_shapes import Rows, Shapes, hash_of, shape_of
 
 #: Words with a vector of their own, their bytes at most, and buckets of all other words.
 WORDS, LONGEST, BUCKETS = 32_768, 64, 8192
 DIMS, NONZERO, WINDOW = 32, 2, 2
+#: Words of a batch or text whose neighbours are looked at together.
+BLOCK = 1 << 17
 #: The network is fitted on at most so many labelled documents.
 TRAIN_DOCS = 8000
 HIDDEN = 16
-_LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
-_REPEAT = re.compile(rb"(.)\1+")
-
-
-def shape_of(word: bytes) -> bytes:
-    """Plain words stand for themselves; capitals and words with marks for their form, so that unseen ones are known."""
-    low = word.lower()
-    if word.isalpha() or _LETTERS.fullmatch(word):
-        return b"\0AA" if len(word) > 1 and word.isupper() else low
-    form = _LETTERS.sub(lambda m: b"A" if len(m[0]) > 1 and m[0].isupper() else b"a", word)
-    return b"\0" + _REPEAT.sub(rb"\1", re.sub(rb"[0-9]", b"0", form))
 
 
 class Slots(dict):
@@ -46,6 +36,9 @@ class Slots(dict):
 
     def __init__(self, words: dict[bytes, int]):
         self.words = words
+        own = np.zeros(len(words), np.uint64)
+        own[list(words.values())] = [hash_of(w) for w in words]
+        self.own = Rows(own)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -53,7 +46,7 @@ class Slots(dict):
         form = shape_of(word)
         at = self.words.get(form)
         if at is None:
-            at = len(self.words) + xxhash.xxh64_intdigest(form, 7) % BUCKETS
+            at = len(self.words) + hash_of(form) % BUCKETS
         self[word] = at
         return at
 
@@ -61,28 +54,59 @@ class Slots(dict):
         words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all words of the texts, one text after the other, and each text's number of words."""
+        found, number = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for shapes in Shapes.of(texts):
+            rows = self.own.of(shapes.hash)
+            rare = np.flatnonzero(rows < 0)
+            rows[rare] = len(self.words) + (shapes.hash[rare] % np.uint64(BUCKETS)).astype(np.int32)
+            found.append(rows)
+            number += shapes.words
+        return np.concatenate(found), number
+
+
+class Met:
+    """Shapes met in a task and how often, by hash; their bytes are kept once."""
+
+    def __init__(self):
+        self.hash, self.place, self.n, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def full(self) -> bool:
+        return len(self) > 300_000 or sum(w.nbytes for w in self.words) > 64 << 20
+
+    def add(self, shapes: Shapes) -> None:
+        h, n, word = shapes.distinct()
+        at = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inner = np.flatnonzero(at < len(self))
+        known[inner] = self.hash[at[inner]] == h[inner]
+        self.n[self.place[at[known]]] += n[known]
+        new = ~known
+        places = np.arange(int(new.sum())) + len(self)
+        self.hash, self.place = np.insert(self.hash, at[new], h[new]), np.insert(self.place, at[new], places)
+        self.n = np.r_[self.n, n[new]]
+        self.words.append(shapes.bytes_of(word[new]))
+
+    def found(self) -> dict:
+        return {"word": pa.concat_arrays(self.words).cast(pa.binary()) if self.words else pa.array([], pa.binary()), "n": pa.array(self.n, pa.int64())}
+
 
 def vocabulary(docs: DataFrame, most: int = WORDS) -> dict[bytes, int]:
     """The frequent words of all documents, ``most`` of them at most, and their rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        met, shapes = Counter(), {}
-
-        def found() -> dict:
-            return {"word": pa.array(list(met), pa.binary()), "n": pa.array(met.values(), pa.int64())}
-
+        met = Met()
         for batch in batches:
-            raw: Counter = Counter()
-            for text in texts_of(batch.column(0)):
-                raw.update(text.split())
-            for word, n in raw.items():
-                met[shapes[word] if word in shapes else shapes.setdefault(word, shape_of(word))] += n
-            if len(met) > 300_000:
-                yield found()
-                met = Counter()
-            if len(shapes) > 300_000:
-                shapes.clear()
-        yield found()
+            for shapes in Shapes.of(batch.column(0)):
+                met.add(shapes)
+                if met.full():
+                    yield met.found()
+                    met = Met()
+        yield met.found()
 
     counts = per_partition(docs.select(F.col("text").cast("string").alias("text")), "word binary, n long", count).groupBy("word").agg(F.sum("n").alias("n"))
     with scratch():
@@ -105,17 +129,20 @@ def word_vectors(docs: DataFrame, words: dict[bytes, int]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         slots, (place, sign) = Slots(shared.value), index_vectors(shared.value)
+        places, signs = place.T.astype(np.int64), sign.T.astype(float)
         total = np.zeros(rows * DIMS)
         for batch in batches:
-            ids = [slots.of(text) for text in texts_of(batch.column(0))]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            doc = np.repeat(np.arange(len(ids)), list(map(len, ids)))
-            for far in range(1, WINDOW + 1):
-                same = doc[far:] == doc[:-far]
-                left, right = flat[:-far][same], flat[far:][same]
-                for a, b in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        total += np.bincount(a * DIMS + place[b, k], sign[b, k], rows * DIMS)
+            flat, words_in = slots.of_all(batch.column(0))
+            texts = np.repeat(np.arange(len(words_in)), words_in)
+            for i in range(0, len(flat), BLOCK):
+                own, doc = flat[i : i + BLOCK + WINDOW], texts[i : i + BLOCK + WINDOW]
+                at = own.astype(np.int64) * DIMS
+                for p, s in zip([p[own] for p in places], [s[own] for s in signs]):
+                    for far in range(1, WINDOW + 1):
+                        left, right = slice(0, max(0, min(BLOCK, len(own) - far))), slice(far, far + BLOCK)
+                        same = doc[left] == doc[right]
+                        np.add.at(total, at[left] + p[right], s[right] * same)
+                        np.add.at(total, at[right] + p[left], s[left] * same)
         whole = total.astype(np.int64).reshape(rows, DIMS)
         met = np.flatnonzero(whole.any(axis=1))
         yield {"row": pa.array(met, pa.int32())} | {f"c{d}": pa.array(whole[met, d], pa.int64()) for d in range(DIMS)}
@@ -135,9 +162,12 @@ POOLED = 2 * DIMS + 3
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     if not len(ids):
         return np.zeros(POOLED)
-    kinds, back, count = np.unique(ids, return_inverse=True, return_counts=True)
-    v = vectors[kinds]
-    near = np.einsum("ij,ij->", v[back[1:]], v[back[:-1]]) / len(ids)
+    kinds, count = np.unique(ids, return_counts=True)
+    v, near = vectors[kinds], 0.0
+    for i in range(0, len(ids), BLOCK):
+        each = vectors[ids[i : i + BLOCK + 1]]
+        near += np.einsum("ij,ij->", each[1:], each[:-1])
+    near /= len(ids)
     return np.r_[count @ v / len(ids), count @ (v * v) / len(ids) * 4, near, len(kinds) / len(ids), np.log1p(len(ids)) / 4]
 
 
@@ -202,7 +232,8 @@ def _pool(rows: DataFrame, vectors: Vectors, last) -> DataFrame:
         slots, table = Slots(shared.value.words), shared.value.rows
 
         def step(batch: pa.RecordBatch) -> dict:
-            x = np.array([pooled(slots.of(t), table) for t in texts_of(batch.column(1))]).reshape(-1, POOLED)
+            flat, words_in = slots.of_all(batch.column(1))
+            x = np.array([pooled(ids, table) for ids in np.split(flat, np.cumsum(words_in)[:-1])]).reshape(-1, POOLED)
             return {"doc_id": batch.column(0), other: batch.column(2), "out": last(x)}
 
         return step
